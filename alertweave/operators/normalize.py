@@ -26,7 +26,7 @@ from alertweave.functions.expressions import (
     struct_of,
 )
 from alertweave.functions.uri import canonicalize_uri, join_uri, relative_path
-from alertweave.operators.uri_bases import declared_bases, resolve_base
+from alertweave.operators.uri_bases import look_up_base, resolve_declared
 from alertweave.session import OCCURRENCE
 
 _NO_STRINGS = "array<string>"
@@ -96,7 +96,7 @@ def explode_results(gated: DataFrame) -> DataFrame:
         F.col("run.columnKind").alias("column_kind"),
         F.coalesce("run.tool.driver.rules", F.array()).alias("rules"),
         F.coalesce("run.artifacts", F.array()).alias("artifacts"),
-        declared_bases(F.col("run.originalUriBaseIds")).alias("bases"),
+        resolve_declared(F.col("run.originalUriBaseIds")).alias("bases"),
         F.posexplode("run.results").alias("result_index", "result"),
     )
 
@@ -242,7 +242,7 @@ def resolve_location(
         return let(
             record(
                 child=canonicalize_uri(uri),
-                base=F.when(base_id.isNotNull(), resolve_base(base_id, context["bases"])),
+                base=F.when(base_id.isNotNull(), look_up_base(base_id, context["bases"])),
                 uri=uri,
             ),
             lambda found: with_path(item, found),
@@ -354,25 +354,6 @@ def resolve_results(results: DataFrame, source_root: str | None = None) -> DataF
     related = F.coalesce(result["relatedLocations"], F.array())
     flows = F.coalesce(result["codeFlows"], F.array())
 
-    def resolve(location: Column) -> Column:
-        return resolve_location(location, related, context, root)
-
-    def thread_steps(thread: Column) -> Column:
-        last = F.size(thread["locations"]) - 1
-        return F.transform(
-            thread["locations"],
-            lambda step, index: record(
-                at=resolve(step["location"]),
-                index=index,
-                message=message_text(step["location"]["message"]),
-                step_kind=step_kind(step["kinds"], index, last),
-                kinds=F.coalesce(step["kinds"], F.array().cast(_NO_STRINGS)),
-                nesting_level=step["nestingLevel"],
-                execution_order=step["executionOrder"],
-                importance=step["importance"],
-            ),
-        )
-
     threads = F.flatten(
         F.transform(
             flows,
@@ -383,34 +364,68 @@ def resolve_results(results: DataFrame, source_root: str | None = None) -> DataF
                         F.nullif(message_text(thread["message"]), F.lit("")),
                         message_text(flow["message"]),
                     ),
-                    steps=thread_steps(thread),
+                    steps=thread["locations"],
                 ),
             ),
         )
     )
+    # One list of location lists: primary and additional, related, then one per thread. They
+    # are resolved in one pass, so the long resolving expression is planned once.
+    located_lists = F.concat(
+        F.array(F.coalesce(result["locations"], F.array()), related),
+        F.transform(
+            "raw_threads",
+            lambda thread: F.transform(
+                F.coalesce(thread["steps"], F.array()), lambda step: step["location"]
+            ),
+        ),
+    )
+
+    def thread_steps(thread: Column) -> Column:
+        last = F.size(thread["steps"]) - 1
+        return F.transform(
+            thread["steps"],
+            lambda step, index: record(
+                index=index,
+                message=message_text(step["location"]["message"]),
+                step_kind=step_kind(step["kinds"], index, last),
+                kinds=F.coalesce(step["kinds"], F.array().cast(_NO_STRINGS)),
+                nesting_level=step["nestingLevel"],
+                execution_order=step["executionOrder"],
+                importance=step["importance"],
+            ),
+        )
+
     related_ids = F.filter(
         F.transform(related, lambda item: item["id"]), lambda number: number.isNotNull()
     )
     frame = (
         results.withColumn("picked", resolve_rule(result, F.col("rules")))
         .withColumn("rule", rule_metadata(F.col("picked.rule_id"), F.col("picked.rule"), result))
-        .withColumn("at", F.transform(F.coalesce(result["locations"], F.array()), resolve))
-        .withColumn("related_at", F.transform(related, resolve))
-        .withColumn("threads", threads)
-    )
-
-    def failing(items: Column) -> Column:
-        return F.get(F.filter(items, lambda item: item["reason"].isNotNull()), F.lit(0))
-
-    step_failures = F.flatten(
-        F.transform(
+        .withColumn("raw_threads", threads)
+        .withColumn("located_lists", located_lists)
+        .withColumn(
+            "resolved",
+            F.transform(
+                "located_lists",
+                lambda items: F.transform(
+                    items, lambda location: resolve_location(location, related, context, root)
+                ),
+            ),
+        )
+        .withColumn(
             "threads",
-            lambda thread: F.filter(
-                F.transform(thread["steps"], lambda step: step["at"]),
-                lambda item: item["reason"].isNotNull(),
+            F.transform(
+                "raw_threads",
+                lambda thread: record(
+                    message=thread["message"], steps=thread_steps(thread)
+                ),
             ),
         )
     )
+    failing = F.get(
+        F.filter(F.flatten("resolved"), lambda item: item["reason"].isNotNull()), F.lit(0)
+    )
     invalid = first_reason(
         (F.col("picked.reason").isNotNull(), F.col("picked.reason")),
         (
@@ -418,12 +433,10 @@ def resolve_results(results: DataFrame, source_root: str | None = None) -> DataF
             "duplicate related location id",
         ),
     )
-    located = F.coalesce(
-        failing(F.col("at")), failing(F.col("related_at")), F.get(step_failures, F.lit(0))
-    )
+    located = failing
     message = message_text(result["message"])
     late = first_reason(
-        (F.size("at") == 0, "result has no physical location"),
+        (F.coalesce(F.size(result["locations"]), F.lit(0)) == 0, "result has no physical location"),
         (
             F.exists(flows, lambda flow: F.coalesce(F.size(flow["threadFlows"]), F.lit(0)) < 1),
             "codeFlow contains no threadFlows",
@@ -466,8 +479,7 @@ def resolve_results(results: DataFrame, source_root: str | None = None) -> DataF
         "rule",
         message.alias("message"),
         F.coalesce(F.nullif(result["level"], F.lit("")), F.col("rule.severity")).alias("level"),
-        "at",
-        "related_at",
+        "resolved",
         "threads",
         (F.size(flows) > 0).alias("has_code_flows"),
         sorted_map(
@@ -493,18 +505,13 @@ def observe_hashes(resolved: DataFrame, source_files: DataFrame) -> DataFrame:
     Distinct paths of one occurrence are joined with the files, so repeated steps cost one
     row; a file cited by very many alerts is split by the adaptive skew join.
     """
-    all_at = F.concat(
-        F.col("at"),
-        F.col("related_at"),
-        F.flatten(
-            F.transform("threads", lambda thread: F.transform(thread["steps"], lambda s: s["at"]))
-        ),
-    )
     wanted = resolved.select(
         *OCCURRENCE,
         "repository_identity",
         F.explode(
-            F.array_distinct(F.transform(all_at, lambda item: item["location"]["path"]))
+            F.array_distinct(
+                F.transform(F.flatten("resolved"), lambda item: item["location"]["path"])
+            )
         ).alias("path"),
     )
     files = source_files.select("repository_identity", "path", "artifact_sha256")
@@ -537,24 +544,22 @@ def normalize(
     def hashed(item: Column) -> Column:
         return item["location"].withField("artifact_sha256", observed[item["location"]["path"]])
 
-    def conflicts(item: Column) -> Column:
-        return item["asserted"] != observed[item["location"]["path"]]
-
-    step_conflict = F.exists(
-        "threads", lambda thread: F.exists(thread["steps"], lambda s: conflicts(s["at"]))
+    conflict = F.exists(
+        F.flatten("resolved"),
+        lambda item: item["asserted"] != observed[item["location"]["path"]],
     )
-    conflict = F.exists("at", conflicts) | F.exists("related_at", conflicts) | step_conflict
     paths = F.transform(
         "threads",
         lambda thread, ordinal: let(
-            F.transform(
+            F.zip_with(
                 thread["steps"],
-                lambda step: struct_of(
+                F.get("hashed", ordinal + 2),
+                lambda step, location: struct_of(
                     execution_order=step["execution_order"],
                     importance=step["importance"],
                     index=step["index"],
                     kinds=step["kinds"],
-                    location=hashed(step["at"]),
+                    location=location,
                     message=step["message"],
                     nesting_level=step["nesting_level"],
                     provenance=F.lit("sarif.codeFlows"),
@@ -572,7 +577,13 @@ def normalize(
         ),
     )
     by_document = Window.partitionBy("raw_sarif_sha256")
-    located = resolved.withColumn("locations", F.transform("at", hashed)).withColumn("paths", paths)
+    located = (
+        resolved.withColumn(
+            "hashed", F.transform("resolved", lambda items: F.transform(items, hashed))
+        )
+        .withColumn("locations", F.get("hashed", F.lit(0)))
+        .withColumn("paths", paths)
+    )
     shaped = located.select(
         *OCCURRENCE,
         analysis_id(
@@ -587,7 +598,7 @@ def normalize(
         F.slice("locations", F.lit(2), F.greatest(F.size("locations") - 1, F.lit(0))).alias(
             "additional_locations"
         ),
-        F.transform("related_at", hashed).alias("related_locations"),
+        F.get("hashed", F.lit(1)).alias("related_locations"),
         "paths",
         "has_code_flows",
         "fingerprints",

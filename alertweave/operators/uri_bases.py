@@ -80,3 +80,38 @@ def resolve_base(base_id: Column, bases: Column) -> Column:
             anchor=state["anchor"],
         ),
     )
+
+
+def resolve_declared(declared: Column) -> Column:
+    """``ARRAY<STRUCT<base_id, reason, path, anchor>>``: every declared base, walked once."""
+    return let(
+        declared_bases(declared),
+        lambda bases: F.transform(
+            bases,
+            lambda base: let(
+                resolve_base(base["base_id"], bases),
+                lambda found: record(
+                    base_id=base["base_id"],
+                    reason=found["reason"],
+                    path=found["path"],
+                    anchor=found["anchor"],
+                ),
+            ),
+        ),
+    )
+
+
+def look_up_base(base_id: Column, resolved: Column) -> Column:
+    """The resolved base a location names; the source root needs no declaration."""
+    found = F.get(F.filter(resolved, lambda base: base["base_id"] == base_id), F.lit(0))
+    return let(
+        found,
+        lambda base: F.when(base.isNotNull(), base).otherwise(
+            record(
+                base_id=base_id,
+                reason=F.when(F.lower(base_id) != "%srcroot%", F.lit("unknown URI base")),
+                path=empty_root(),
+                anchor=F.lit(None).cast(URI_TYPE),
+            )
+        ),
+    )

@@ -31,6 +31,9 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("alertweave")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # call sites of column calls are costly to record and only help debugging
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("ALERTWEAVE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
