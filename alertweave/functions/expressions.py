@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,9 +139,14 @@ def dot_escape(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Bearer values, ``key = value`` secrets, then user info inside URLs."""
-    text = F.regexp_replace(text, fixed.BEARER_PATTERN, "Bearer [REDACTED]")
-    text = F.regexp_replace(text, fixed.INLINE_SECRET_PATTERN, r"$1[REDACTED]")
-    return F.regexp_replace(text, fixed.USERINFO_PATTERN, r"$1[REDACTED]@")
+    for pattern, replacement in (
+        (fixed.BEARER_PATTERN, "Bearer [REDACTED]"),
+        (fixed.INLINE_SECRET_PATTERN, "$1[REDACTED]"),
+        (fixed.USERINFO_PATTERN, "$1[REDACTED]@"),
+    ):
+        # blanks and letter case follow Unicode, as the patterns assume
+        text = F.regexp_replace(text, "(?U)" + pattern, replacement)
+    return text
 
 
 def redact_map(value: Column) -> Column:
@@ -196,3 +201,14 @@ def is_safe_relative_path(path: Column) -> Column:
         | path.rlike(r"(?:^|/)(?:\.{0,2})(?:/|$)")
         | has_control(path)
     )
+
+
+def keep_rows(frame: DataFrame, condition: Column) -> DataFrame:
+    """``where`` for a condition that is costly to compute.
+
+    A plain filter is pushed below the columns it reads and repeats their expressions, parsing
+    a document once per mention. A one-element explode stands in its way: the filter on its
+    output stays above it, and each column is computed once.
+    """
+    marked = frame.withColumn("_kept", F.explode_outer(F.when(condition, F.array(F.lit(1)))))
+    return marked.where("_kept is not null").drop("_kept")

@@ -19,6 +19,7 @@ from alertweave.functions.expressions import (
     first_reason,
     has_control,
     is_safe_relative_path,
+    keep_rows,
     let,
     record,
     sha256,
@@ -82,13 +83,15 @@ def analysis_id(raw_sarif_sha256: Column, repository: Column, commit: Column) ->
 
 def explode_results(gated: DataFrame) -> DataFrame:
     """One row per result of every accepted document; equal results stay separate rows."""
-    runs = gated.where("reason is null").select(
+    runs = keep_rows(gated, F.col("reason").isNull()).select(
         "raw_sarif_sha256",
         "repository_identity",
         "commit_sha",
         F.posexplode("sarif.runs").alias("run_index", "run"),
     )
-    return runs.select(
+    # Run-level values are made below the second explode. Made beside it, the optimizer would
+    # fold them into the per-location lambdas and walk the base chains once per location.
+    prepared = runs.select(
         "raw_sarif_sha256",
         "repository_identity",
         "commit_sha",
@@ -97,7 +100,11 @@ def explode_results(gated: DataFrame) -> DataFrame:
         F.coalesce("run.tool.driver.rules", F.array()).alias("rules"),
         F.coalesce("run.artifacts", F.array()).alias("artifacts"),
         resolve_declared(F.col("run.originalUriBaseIds")).alias("bases"),
-        F.posexplode("run.results").alias("result_index", "result"),
+        F.col("run.results").alias("results"),
+    )
+    return prepared.select(
+        *[name for name in prepared.columns if name != "results"],
+        F.posexplode("results").alias("result_index", "result"),
     )
 
 

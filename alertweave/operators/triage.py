@@ -614,20 +614,35 @@ def invocations_table(triaged: DataFrame) -> DataFrame:
 
 
 def role_order_faults(invocations: DataFrame) -> DataFrame:
-    """Alerts whose accepted calls are not exactly analyst, rebuttal, judge, or number 3 to 6."""
-    accepted = F.array_sort(
-        F.collect_list(F.when(F.col("status") == "accepted", F.struct("call_ord", "agent_role")))
+    """Alerts whose accepted calls are not exactly analyst, rebuttal, judge, or number 3 to 6.
+
+    Order is checked with minima and maxima per role, so nothing is collected.
+    """
+    return role_order_check(invocations, OCCURRENCE)
+
+
+def role_order_check(invocations: DataFrame, keys: list[str]) -> DataFrame:
+    accepted = F.col("status") == "accepted"
+
+    def position(role: str) -> Column:
+        return F.when(accepted & (F.col("agent_role") == role), F.col("call_ord"))
+
+    facts = invocations.groupBy(*keys).agg(
+        F.count("*").alias("calls"),
+        F.count_if(accepted).alias("accepted"),
+        *[F.count(position(role)).alias(f"{role}_count") for role in fixed.ROLES],
+        *[F.max(position(role)).alias(f"{role}_at") for role in fixed.ROLES],
     )
-    wanted = F.array(*[F.lit(role) for role in fixed.ROLES])
-    return (
-        invocations.groupBy(*OCCURRENCE)
-        .agg(accepted.alias("accepted"), F.count("*").alias("calls"))
-        .where(
-            (F.transform("accepted", lambda call: call["agent_role"]) != wanted)
-            | ~F.col("calls").between(fixed.MINIMUM_CALLS_PER_ALERT, fixed.MAXIMUM_CALLS_PER_ALERT)
-        )
-        .select(*OCCURRENCE, "calls")
+    in_order = (
+        (F.col("accepted") == 3)
+        & (F.col("analyst_count") == 1)
+        & (F.col("rebuttal_count") == 1)
+        & (F.col("judge_count") == 1)
+        & (F.col("analyst_at") < F.col("rebuttal_at"))
+        & (F.col("rebuttal_at") < F.col("judge_at"))
     )
+    bounded = F.col("calls").between(fixed.MINIMUM_CALLS_PER_ALERT, fixed.MAXIMUM_CALLS_PER_ALERT)
+    return facts.where(~F.coalesce(in_order, F.lit(False)) | ~bounded).select(*keys, "calls")
 
 
 def first_valid_attempts(attempts: DataFrame, keys: list[str], order: str, valid: str) -> DataFrame:

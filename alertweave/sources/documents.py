@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertweave import fixed_values as fixed
 from alertweave import schemas
-from alertweave.functions.expressions import first_reason
+from alertweave.functions.expressions import first_reason, keep_rows
 
 
 def scan_documents(spark: SparkSession, location: str, pattern: str = "*.sarif") -> DataFrame:
@@ -169,7 +169,7 @@ def _step_count(result: Column) -> Column:
 
 
 def document_rejects(gated: DataFrame) -> DataFrame:
-    return gated.where("reason is not null").select(
+    return keep_rows(gated, F.col("reason").isNotNull()).select(
         "raw_sarif_sha256",
         F.lit(None).cast("int").alias("run_index"),
         F.lit(None).cast("int").alias("result_index"),
