@@ -19,7 +19,6 @@ from alertweave.functions.expressions import (
     first_reason,
     has_control,
     is_safe_relative_path,
-    keep_rows,
     let,
     record,
     sha256,
@@ -83,11 +82,18 @@ def analysis_id(raw_sarif_sha256: Column, repository: Column, commit: Column) ->
 
 def explode_results(gated: DataFrame) -> DataFrame:
     """One row per result of every accepted document; equal results stay separate rows."""
-    runs = keep_rows(gated, F.col("reason").isNull()).select(
-        "raw_sarif_sha256",
-        "repository_identity",
-        "commit_sha",
-        F.posexplode("sarif.runs").alias("run_index", "run"),
+    # Outer explodes: the others add a size filter on their input, which is pushed down to
+    # the scan and parses every document once more.
+    runs = (
+        gated.select(
+            "raw_sarif_sha256",
+            "repository_identity",
+            "commit_sha",
+            F.posexplode_outer(F.when(F.col("reason").isNull(), F.col("sarif.runs"))).alias(
+                "run_index", "run"
+            ),
+        )
+        .where("run_index is not null")
     )
     # Run-level values are made below the second explode. Made beside it, the optimizer would
     # fold them into the per-location lambdas and walk the base chains once per location.
@@ -104,8 +110,8 @@ def explode_results(gated: DataFrame) -> DataFrame:
     )
     return prepared.select(
         *[name for name in prepared.columns if name != "results"],
-        F.posexplode("results").alias("result_index", "result"),
-    )
+        F.posexplode_outer("results").alias("result_index", "result"),
+    ).where("result_index is not null")
 
 
 # --- rules ----------------------------------------------------------------------------------
@@ -509,25 +515,38 @@ def resolve_results(results: DataFrame, source_root: str | None = None) -> DataF
 def observe_hashes(resolved: DataFrame, source_files: DataFrame) -> DataFrame:
     """Adds ``observed``: path to the hash of the file found there.
 
-    Distinct paths of one occurrence are joined with the files, so repeated steps cost one
-    row; a file cited by very many alerts is split by the adaptive skew join.
+    One pass: an alert becomes one row per distinct path, its data riding on the first, meets
+    the files and is put together again. Joining hashes back to ``resolved`` would parse every
+    document twice. A file cited by very many alerts is split by the adaptive skew join.
     """
-    wanted = resolved.select(
+    data = [name for name in resolved.columns if name not in OCCURRENCE]
+    spread = resolved.select(
         *OCCURRENCE,
-        "repository_identity",
-        F.explode(
+        F.struct(*data).alias("data"),
+        F.posexplode_outer(
             F.array_distinct(
                 F.transform(F.flatten("resolved"), lambda item: item["location"]["path"])
             )
-        ).alias("path"),
+        ).alias("position", "path"),
+    ).select(
+        *OCCURRENCE,
+        F.col("data.repository_identity").alias("repository_identity"),
+        "path",
+        F.when(F.coalesce("position", F.lit(0)) == 0, F.col("data")).alias("data"),
     )
     files = source_files.select("repository_identity", "path", "artifact_sha256")
-    observed = (
-        wanted.join(files, ["repository_identity", "path"])
+    found = F.when(
+        F.col("artifact_sha256").isNotNull(), F.struct("path", "artifact_sha256")
+    )
+    return (
+        spread.join(files, ["repository_identity", "path"], "left")
         .groupBy(*OCCURRENCE)
-        .agg(F.map_from_entries(F.collect_list(F.struct("path", "artifact_sha256"))).alias("observed"))
+        .agg(
+            F.first("data", ignorenulls=True).alias("data"),
+            F.map_from_entries(F.collect_list(found)).alias("observed"),
+        )
+        .select(*OCCURRENCE, "data.*", "observed")
     )
-    return resolved.join(observed, OCCURRENCE, "left")
 
 
 def normalize(
