@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from alertweave import fixed_values as fixed
 from alertweave.functions.expressions import first_reason
 from alertweave.operators.normalize import query_family
-from alertweave.session import OCCURRENCE
 
 
 def manifest_faults(cases: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertweave.operators import evidence, normalize, report, triage
-from alertweave.operators.context import build_context, check_context, resolve_policy
+from alertweave.operators.context import check_context, resolve_policy
 from alertweave.plans import pipeline
 from alertweave.sources.documents import document_rejects, gate_documents
 from alertweave.sources.source_files import text_sources
