@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertweave.llm import mixing, packing
+from alertweave.llm import license_scan, mixing, near_duplicates, packing, quality_rules
 from alertweave.llm.shared import table
 
 
@@ -20,8 +20,33 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, folder, "documents")).drop("blocks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_packing": op8_packing,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}
