@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from alertweave.llm import license_scan, mixing, near_duplicates, packing, quality_rules
+from pyspark.sql import functions as F
+
+from alertweave.llm import (
+    language,
+    license_scan,
+    mixing,
+    near_duplicates,
+    neighbours,
+    packing,
+    quality_rules,
+    token_store,
+)
 from alertweave.llm.shared import table
 
 
@@ -20,6 +30,23 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_id(table(spark, folder, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans")
+    )
+
+
+def op3_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_store.token_store(table(spark, folder, "documents"), path)
+
+
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select(
@@ -44,6 +71,9 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_language": op2_language,
+    "op3_token_store": op3_token_store,
+    "op4_neighbours": op4_neighbours,
     "op5_quality_rules": op5_quality_rules,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_packing": op8_packing,
