@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertweave.llm import (
+    importance,
     language,
     license_scan,
     mixing,
@@ -16,6 +17,7 @@ from alertweave.llm import (
     packing,
     quality_rules,
     token_store,
+    url_filter,
 )
 from alertweave.llm.shared import table
 
@@ -61,10 +63,18 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, folder, "pages"))
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_scan(table(spark, folder, "documents")).drop("blocks")
 
@@ -75,8 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_neighbours": op4_neighbours,
     "op5_quality_rules": op5_quality_rules,
+    "op6_url_filter": op6_url_filter,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_packing": op8_packing,
+    "op9_importance": op9_importance,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}
