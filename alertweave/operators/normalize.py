@@ -534,7 +534,13 @@ def observe_hashes(resolved: DataFrame, source_files: DataFrame) -> DataFrame:
         "path",
         F.when(F.coalesce("position", F.lit(0)) == 0, F.col("data")).alias("data"),
     )
-    files = source_files.select("repository_identity", "path", "artifact_sha256")
+    # a path that a source table names twice, with different bytes, has no one hash to observe
+    files = (
+        source_files.groupBy("repository_identity", "path")
+        .agg(F.min("artifact_sha256").alias("artifact_sha256"), F.max("artifact_sha256").alias("other_sha256"))
+        .where("artifact_sha256 = other_sha256")
+        .drop("other_sha256")
+    )
     found = F.when(
         F.col("artifact_sha256").isNotNull(), F.struct("path", "artifact_sha256")
     )
@@ -543,7 +549,7 @@ def observe_hashes(resolved: DataFrame, source_files: DataFrame) -> DataFrame:
         .groupBy(*OCCURRENCE)
         .agg(
             F.first("data", ignorenulls=True).alias("data"),
-            F.map_from_entries(F.collect_list(found)).alias("observed"),
+            F.map_from_entries(F.collect_set(found)).alias("observed"),
         )
         .select(*OCCURRENCE, "data.*", "observed")
     )

@@ -302,7 +302,7 @@ sized AS (
   FROM framed f JOIN documents d ON f.path = 'docs/' || d.doc_id || '.txt'
 ),
 classed AS (
-  SELECT *, CASE WHEN size > 8192 THEN 'source_too_large' WHEN lang = 'es' THEN 'binary_source'
+  SELECT *, CASE WHEN lang = 'es' THEN 'binary_source'
                  WHEN lang = 'fr' THEN 'unsupported_encoding' ELSE 'ok' END AS status FROM sized
 )
 SELECT path, sha256(content) AS artifact_sha256, size, status,
@@ -455,7 +455,7 @@ WITH {_LINES}, words AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY name) AS rank, count(*) OVER (PARTITION BY doc_id, line_no) AS singles FROM words
 )
-SELECT doc_id, line_no, name, rank, greatest(singles - 8, 0) AS overflow FROM ranked WHERE rank <= 8""",
+SELECT doc_id, line_no, name, rank, singles FROM ranked""",
     "lexical_candidates": _lexical(),
     "lexical_families": _lifecycle(),
     "omission_dedupe": f"""
@@ -468,15 +468,15 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 A
 WITH l AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'supports_tp' WHEN quality = 1 THEN 'supports_fp' ELSE 'neutral' END AS polarity,
   CASE WHEN toxic = 1 THEN 'decisive' WHEN quality = 1 THEN 'high' ELSE 'low' END AS strength FROM labels)
 SELECT l.doc_id AS result_index, {_EVIDENCE_ID} AS evidence_id, 'verification' AS type, polarity, strength, 'human' AS origin,
-  'label of document ' || l.doc_id AS summary FROM l JOIN documents d ON d.doc_id = l.doc_id WHERE d.n_chars > 200""",
+  'label of document ' || l.doc_id AS summary FROM l JOIN documents d ON d.doc_id = l.doc_id WHERE d.lang IS DISTINCT FROM 'fr'""",
     "supplement_rejects": """
 SELECT sha256('label-' || l.doc_id) AS supplement_sha256, l.doc_id AS result_index, 'POLICY_REJECTED' AS error_code,
   'supplement cites an unavailable occurrence' AS detail
-FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.n_chars > 200 WHERE d.doc_id IS NULL""",
+FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang IS DISTINCT FROM 'fr' WHERE d.doc_id IS NULL""",
     "closure_labels": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "closure_orders": """
-SELECT l_orderkey AS o_orderkey, count(*) AS "references" FROM lineitem l
-WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P') GROUP BY ALL""",
+SELECT o_orderstatus, count(*) AS "references" FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey) GROUP BY ALL""",
     "dot_lines": """
 WITH n AS (SELECT 0 AS run_index, n_nationkey AS ord, n_name AS name FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region)
 SELECT 1 AS part, run_index, ord, '  "ev_' || sha256(name) || '" [label="' || name || '\\"x\\"\\nev_' || left(sha256(name), 12) || '"];' AS line FROM n
@@ -648,9 +648,9 @@ WITH b AS (SELECT 'page-' || page_id AS item, html AS body FROM pages UNION ALL
 SELECT item, sha256({_ESCAPED}) AS escaped_sha256, length({_ESCAPED}) AS escaped_length FROM b""",
     "report_unknowns": """
 WITH w AS (SELECT doc_id, lang, source, regexp_extract_all(text, '[a-z]+') AS words FROM documents),
-l AS (SELECT doc_id, list_concat(list_concat(words[1:3], words[2:4]), list_concat([lang], list_concat(words[1:5], ['Context omission ' || source || ': ' || lang]))) AS items FROM w)
+l AS (SELECT doc_id, list_concat(list_concat(words, list_filter(words, lambda x: length(x) > 6)), list_concat([lang], list_concat(list_reverse(words), ['Context omission ' || source || ': ' || lang]))) AS items FROM w)
 SELECT doc_id, array_to_string(list_filter(items, lambda x, i: list_position(items, x) = i), '|') AS unknowns FROM l""",
     "rejects": """
-SELECT sha256(text) AS raw_sarif_sha256, 'ingest' AS stage, 'INVALID_SARIF' AS error_code, 'token=[REDACTED] rest' AS detail, 'INVALID_SARIF' AS terminal_state FROM documents WHERE n_chars < 200
-UNION ALL SELECT sha256(doc_id::VARCHAR), 'triage', 'MODEL_RESPONSE_INVALID', 'no secret here', 'MODEL_FAILED' FROM labels WHERE toxic = 1""",
+SELECT sha256(text) AS raw_sarif_sha256, 'ingest' AS stage, 'INVALID_SARIF' AS error_code, 'token=[REDACTED] rest' AS detail, 'INVALID_SARIF' AS terminal_state FROM documents
+UNION ALL SELECT sha256(doc_id::VARCHAR), 'triage', 'MODEL_RESPONSE_INVALID', 'no secret here', 'MODEL_FAILED' FROM labels""",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from alertweave import fixed_values as fixed
 from alertweave.operators import audit, context, evidence, normalize, report, triage
 from alertweave.sinks.tables import read_stage, write_lines, write_stage
-from alertweave.sources.documents import document_rejects, gate_documents
+from alertweave.sources.documents import document_rejects, gate_documents, repeated_documents, unique_documents
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ def build_context_tables(
     spark: SparkSession, documents: DataFrame, sources: DataFrame, folder: str, options: Options = Options()
 ) -> dict[str, DataFrame]:
     """Documents to context and evidence. ``documents`` needs content, hash, repository, commit."""
-    gated = gate_documents(documents)
+    gated = gate_documents(unique_documents(documents))
     normalized = stage(
         spark,
         normalize.normalize(gated, sources, options.source_root),
@@ -60,7 +60,7 @@ def build_context_tables(
         "edges": evidence.edges_table(graph),
         "artifacts": evidence.artifacts_of_graph(graph),
         "rejects": audit.rejects_with_state(
-            document_rejects(gated), normalize.normalization_rejects(normalized)
+            repeated_documents(documents), document_rejects(gated), normalize.normalization_rejects(normalized)
         ),
     }
 

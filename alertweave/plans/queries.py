@@ -41,7 +41,7 @@ def lines_numbered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents and pages as raw files: size, NUL and encoding classes, exact hash."""
+    """Documents as raw files: NUL and encoding classes, exact hash and size."""
     files = (
         table(spark, sf, "documents")
         .select(
@@ -55,7 +55,7 @@ def source_scan(spark: SparkSession, sf: str) -> DataFrame:
         )
         .withColumn("size", F.octet_length("content").cast("bigint"))
     )
-    return source_files.classify_sources(files, maximum_bytes=8192).select(
+    return source_files.classify_sources(files).select(
         "path", "artifact_sha256", "size", "status", F.length("text").alias("text_length")
     )
 
@@ -438,7 +438,7 @@ def callee_definitions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def callees_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of each line as called names; a repeated word is ambiguous, eight others fit."""
+    """Words of each line as called names, ranked; a repeated word is ambiguous and has no rank."""
     words = F.regexp_extract_all("line", F.lit("[a-z]+"), F.lit(0))
     candidates = (
         carriers.document_lines(spark, sf)
@@ -447,10 +447,7 @@ def callees_ranked(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.count("*").alias("definitions"))
     )
     ranked = context.rank_callees(candidates, ["doc_id", "line_no"])
-    bound = fixed.MAXIMUM_CALLEE_SLICES
-    return ranked.where(F.col("rank") <= bound).select(
-        "doc_id", "line_no", "name", "rank", F.greatest(F.col("singles") - bound, F.lit(0)).alias("overflow")
-    )
+    return ranked.where("rank IS NOT NULL").select("doc_id", "line_no", "name", "rank", "singles")
 
 
 def lexical_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -524,10 +521,10 @@ def _label_supplements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _document_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents over 200 characters as one alert each."""
-    return table(spark, sf, "documents").where("n_chars > 200").select(
+    """Documents as one alert each; labels cite the first run, and French ones are of another."""
+    return table(spark, sf, "documents").select(
         E.sha256(F.col("doc_id").cast("string")).alias("raw_sarif_sha256"),
-        F.lit(0).alias("run_index"),
+        F.when(F.col("lang") == "fr", 1).otherwise(0).alias("run_index"),
         F.col("doc_id").cast("int").alias("result_index"),
         E.sha256(F.col("text")).alias("alert_fingerprint"),
     )
@@ -579,9 +576,10 @@ def closure_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def closure_orders(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    late = table(spark, sf, "orders").where("o_orderstatus <> 'P'")
-    return evidence.dangling(lines, ["o_orderkey"], late).groupBy("o_orderkey").agg(F.count("*").alias("references"))
+    """Orders that cite a customer number no supplier has, counted per status."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("s_suppkey"), "o_orderstatus")
+    missing = evidence.dangling(orders, ["s_suppkey"], table(spark, sf, "supplier"))
+    return missing.groupBy("o_orderstatus").agg(F.count("*").alias("references"))
 
 
 def dot_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -849,8 +847,9 @@ def legacy_bind(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("s_nationkey") + 1).alias("line"),
         F.when(F.col("s_acctbal") > 5000, "TP").otherwise("FP").alias("label"),
     )
-    bindings = table(spark, sf, "region").where("r_name <> 'EUROPE'").select(
-        F.substring(F.lit("ABCDEFGHIJ"), F.col("r_regionkey") + 1, F.lit(1)).alias("id_prefix"),
+    prefix = F.substring(F.lit("ABCDEFGHIJ"), F.col("r_regionkey") + 1, F.lit(1))
+    bindings = table(spark, sf, "region").select(
+        F.when(F.col("r_name") == "EUROPE", "Z").otherwise(prefix).alias("id_prefix"),
         E.sha256(F.col("r_name")).alias("raw_sarif_sha256"),
         F.lit("java/unreleased-lock").alias("rule_id"),
     )
@@ -929,7 +928,7 @@ def _checked_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
         "result_count",
         F.lit(None).cast("string").alias("reason"),
     )
-    decided = labels.where("source not in ('src2', 'src5')")
+    decided = labels
     rejects = checked.where("case_id = 'src5'").select(
         "raw_sarif_sha256", F.lit(fixed.RESPONSE_INVALID).alias("error_code")
     )
@@ -1149,10 +1148,10 @@ def report_unknowns(spark: SparkSession, sf: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
     frame = table(spark, sf, "documents").select(
         "doc_id",
-        F.slice(words, 1, 3).alias("analyst_unknowns"),
-        F.slice(words, 2, 3).alias("rebuttal_unknowns"),
+        words.alias("analyst_unknowns"),
+        F.filter(words, lambda word: F.length(word) > 6).alias("rebuttal_unknowns"),
         F.array(F.col("lang")).alias("judge_unknowns"),
-        E.record(unknowns=F.slice(words, 1, 5)).alias("decision"),
+        E.record(unknowns=F.reverse(words)).alias("decision"),
         F.array(E.record(code=F.col("source"), detail=F.col("lang"))).alias("omitted"),
     )
     return frame.select("doc_id", F.array_join(report.report_unknowns(), "|").alias("unknowns"))
@@ -1160,13 +1159,13 @@ def report_unknowns(spark: SparkSession, sf: str) -> DataFrame:
 
 def rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Rejects of two stages with redacted detail and the state their stage ends in."""
-    texts = table(spark, sf, "documents").where("n_chars < 200").select(
+    texts = table(spark, sf, "documents").select(
         E.sha256(F.col("text")).alias("raw_sarif_sha256"),
         F.lit("ingest").alias("stage"),
         F.lit(fixed.INVALID_SARIF).alias("error_code"),
         F.concat(F.lit("token="), F.col("lang"), F.lit(" rest")).alias("detail"),
     )
-    labels = table(spark, sf, "labels").where("toxic = 1").select(
+    labels = table(spark, sf, "labels").select(
         E.sha256(F.col("doc_id").cast("string")).alias("raw_sarif_sha256"),
         F.lit("triage").alias("stage"),
         F.lit(fixed.RESPONSE_INVALID).alias("error_code"),

@@ -1,4 +1,8 @@
-"""Raw SARIF documents: bounded scan, exact-byte digest, strict JSON gate."""
+"""Raw SARIF documents: scan, exact-byte digest, one row per document, strict JSON gate.
+
+No size or count is bounded unless a bound is passed; the published ones are in ``fixed_values``.
+What a bound leaves out, and every further copy of a document, has a reject row.
+"""
 
 from __future__ import annotations
 
@@ -10,23 +14,27 @@ from alertweave import schemas
 from alertweave.functions.expressions import first_reason, keep_rows
 
 
-def scan_documents(spark: SparkSession, location: str, pattern: str = "*.sarif") -> DataFrame:
+def scan_documents(
+    spark: SparkSession, location: str, pattern: str = "*.sarif", maximum_bytes: int | None = None
+) -> DataFrame:
     """All files below a folder: ``path, length, content, raw_sarif_sha256``.
 
-    The size bound filters on ``length``, which the file source pushes down, so oversized
-    files are listed by ``oversized_documents`` but never read.
+    A size bound filters on ``length``, which the file source pushes down, so oversized files are
+    never read; ``oversized_documents`` with the same bound lists them.
     """
-    return (
-        _files(spark, location, pattern)
-        .where(F.col("length") <= fixed.MAXIMUM_DOCUMENT_BYTES)
-        .select("path", "length", "content", F.sha2("content", 256).alias("raw_sarif_sha256"))
-    )
+    files = _files(spark, location, pattern)
+    if maximum_bytes is not None:
+        files = files.where(F.col("length") <= maximum_bytes)
+    return files.select("path", "length", "content", F.sha2("content", 256).alias("raw_sarif_sha256"))
 
 
-def oversized_documents(spark: SparkSession, location: str, pattern: str = "*.sarif") -> DataFrame:
+def oversized_documents(
+    spark: SparkSession, location: str, pattern: str = "*.sarif", maximum_bytes: int = fixed.MAXIMUM_DOCUMENT_BYTES
+) -> DataFrame:
+    """A reject row for each file that a scan with this bound leaves out."""
     return (
         _files(spark, location, pattern)
-        .where(F.col("length") > fixed.MAXIMUM_DOCUMENT_BYTES)
+        .where(F.col("length") > maximum_bytes)
         .select(
             "path",
             "length",
@@ -63,10 +71,49 @@ def is_strict_json(text: Column) -> Column:
     )
 
 
-def gate_documents(documents: DataFrame) -> DataFrame:
+_COPY = ["repository_identity", "commit_sha"]
+
+
+def unique_documents(documents: DataFrame) -> DataFrame:
+    """One row per document hash: the copy with the first repository and commit.
+
+    Occurrences are keyed by that hash, so a batch holds each document once. Copies have reject
+    rows (``repeated_documents``) and can be run for their own repository in another batch.
+    """
+    return (
+        documents.groupBy("raw_sarif_sha256")
+        .agg(F.min_by(F.struct(*documents.columns), F.struct(*_COPY)).alias("document"))
+        .select("document.*")
+    )
+
+
+def repeated_documents(documents: DataFrame) -> DataFrame:
+    """A reject row for each copy that ``unique_documents`` leaves out."""
+    per_place = documents.groupBy("raw_sarif_sha256", *_COPY).agg(F.count(F.lit(1)).alias("copies"))
+    kept = per_place.groupBy("raw_sarif_sha256").agg(F.min(F.struct(*_COPY)).alias("kept"))
+    left_out = F.col("copies") - F.struct(*_COPY).eqNullSafe(F.col("kept")).cast("int")
+    return (
+        per_place.join(kept, "raw_sarif_sha256")
+        .where(left_out > 0)
+        .select(
+            "raw_sarif_sha256",
+            F.lit(None).cast("int").alias("run_index"),
+            F.lit(None).cast("int").alias("result_index"),
+            F.lit("ingest").alias("stage"),
+            F.lit(fixed.INVALID_SARIF).alias("error_code"),
+            F.concat(F.lit("repeated document of "), F.coalesce("repository_identity", F.lit("no repository"))).alias("detail"),
+            F.explode(F.sequence(F.lit(1).cast("long"), left_out)).alias("copy"),
+        )
+        .drop("copy")
+    )
+
+
+def gate_documents(
+    documents: DataFrame, maximum_results: int | None = None, maximum_path_steps: int | None = None
+) -> DataFrame:
     """Adds ``sarif`` (typed tree) and ``reason`` (null when accepted); other columns stay.
 
-    Counts that bound later per-document work are taken here, before anything is exploded.
+    Counts for the optional bounds are taken here, before anything is exploded.
     """
     parsed = (
         documents.withColumn("text", decode_utf8(F.col("content")))
@@ -138,8 +185,8 @@ def gate_documents(documents: DataFrame) -> DataFrame:
             ),
             "duplicate rule id",
         ),
-        (results > fixed.MAXIMUM_RESULTS, "too many results"),
-        (steps > fixed.MAXIMUM_PATH_STEPS, "too many path steps"),
+        *([] if maximum_results is None else [(results > maximum_results, "too many results")]),
+        *([] if maximum_path_steps is None else [(steps > maximum_path_steps, "too many path steps")]),
     )
     return parsed.withColumn("reason", reason).drop("strict", "text")
 

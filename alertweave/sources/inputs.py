@@ -12,32 +12,35 @@ from alertweave.functions.strict import strict_struct
 from alertweave.sources.documents import decode_utf8, is_strict_json
 
 
-def _whole_files(spark: SparkSession, location: str, pattern: str, maximum: int | None = None) -> DataFrame:
-    files = (
+def _whole_files(spark: SparkSession, location: str, pattern: str) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(location)
     )
-    return files if maximum is None else files.where(F.col("length") <= maximum)
 
 
 # --- supplements --------------------------------------------------------------------------------
 
 
-def read_supplements(spark: SparkSession, location: str, pattern: str = "*.json") -> DataFrame:
-    """One row per supplement file: hash, typed fields and ``issues`` (empty when accepted)."""
-    files = _whole_files(spark, location, pattern, fixed.MAXIMUM_SUPPLEMENT_BYTES)
+def read_supplements(
+    spark: SparkSession, location: str, pattern: str = "*.json", maximum_bytes: int | None = None
+) -> DataFrame:
+    """One row per supplement file: hash, typed fields and ``issues`` (empty when accepted). A file
+    over a given bound is an issue as well, and so a reject."""
     return check_supplements(
-        files.select(
+        _whole_files(spark, location, pattern).select(
             "path",
             F.sha2("content", 256).alias("supplement_sha256"),
             decode_utf8(F.col("content")).alias("text"),
-        )
+            F.col("length").alias("size_bytes"),
+        ),
+        maximum_bytes,
     )
 
 
-def check_supplements(texts: DataFrame) -> DataFrame:
+def check_supplements(texts: DataFrame, maximum_bytes: int | None = None) -> DataFrame:
     parsed = texts.withColumn("value", strict_struct(F.col("text"), f"struct<{_ddl(schemas.SUPPLEMENT)}>"))
     entries = F.col("value.entries")
 
@@ -45,6 +48,7 @@ def check_supplements(texts: DataFrame) -> DataFrame:
         return (strip(text) == text) & ~text.rlike(r"[\x00-\x08\x0b-\x1f]")
 
     issues = all_reasons(
+        *([] if maximum_bytes is None else [(F.col("size_bytes") > maximum_bytes, "supplement exceeds the size bound")]),
         (F.col("value").isNull(), "not a strict supplement object"),
         (~F.col("value.kind").isin(list(fixed.SUPPLEMENT_ORIGINS)), "unknown kind"),
         (~F.col("value.project_id").rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*$"), "invalid project id"),
@@ -110,13 +114,18 @@ def _ddl(columns: str) -> str:
 # --- recorded responses ---------------------------------------------------------------------------
 
 
-def read_responses(spark: SparkSession, location: str) -> DataFrame:
-    """``request_sha256, raw_json, response_sha256``; the file name is the request hash."""
-    files = _whole_files(spark, location, "*.json", fixed.MAXIMUM_RESPONSE_BYTES)
+def read_responses(spark: SparkSession, location: str, maximum_bytes: int | None = None) -> DataFrame:
+    """``request_sha256, raw_json, response_sha256``; the file name is the request hash.
+
+    Under a bound, a larger response stays as a row whose text is empty, so that its call is an
+    invalid response and not a missing one.
+    """
+    files = _whole_files(spark, location, "*.json")
+    whole = F.lit(True) if maximum_bytes is None else F.col("length") <= maximum_bytes
     name = F.regexp_extract("path", r"([0-9a-f]{64})\.json$", 1)
     return files.select(
         name.alias("request_sha256"),
-        decode_utf8(F.col("content")).alias("raw_json"),
+        F.when(whole, decode_utf8(F.col("content"))).otherwise(F.lit("")).alias("raw_json"),
         F.sha2("content", 256).alias("response_sha256"),
     ).where("request_sha256 <> ''")
 

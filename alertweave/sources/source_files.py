@@ -11,44 +11,41 @@ from alertweave.sources.documents import decode_utf8
 
 
 def scan_sources(
-    spark: SparkSession, location: str, repository_identity: str, pattern: str = "*"
+    spark: SparkSession,
+    location: str,
+    repository_identity: str,
+    pattern: str = "*",
+    maximum_bytes: int | None = None,
 ) -> DataFrame:
-    """All files of one tree, classified. Paths are relative to ``location``.
-
-    Files over the size bound are classified from their length alone; the content column is
-    never read for them, as the bound is pushed into the second scan.
-    """
+    """All files of one tree, classified. Paths are relative to ``location``. Every file is hashed,
+    whatever its size; a bound only leaves out the text of larger ones, with that status."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(location)
     )
-    bound = fixed.MAXIMUM_SOURCE_BYTES
     root = location.rstrip("/")
-    small = files.where(F.col("length") <= bound).select("path", "length", "content")
-    large = files.where(F.col("length") > bound).select(
-        "path", "length", F.lit(None).cast("binary").alias("content")
-    )
     relative = F.regexp_replace(F.col("path"), rf"^.*?\Q{root}\E/", "")
     return classify_sources(
-        small.unionByName(large).select(
+        files.select(
             F.lit(repository_identity).alias("repository_identity"),
             relative.alias("path"),
             F.col("length").alias("size"),
             "content",
-        )
+        ),
+        maximum_bytes,
     )
 
 
-def classify_sources(files: DataFrame, maximum_bytes: int = fixed.MAXIMUM_SOURCE_BYTES) -> DataFrame:
+def classify_sources(files: DataFrame, maximum_bytes: int | None = None) -> DataFrame:
     """``repository_identity, path, artifact_sha256, size, status, detail, text``.
 
     The hash covers the exact bytes; the text drops a leading mark, as SARIF columns do.
     """
     text = decode_utf8(F.col("content"))
     status = (
-        F.when(F.col("size") > maximum_bytes, "source_too_large")
+        F.when(F.lit(False) if maximum_bytes is None else F.col("size") > maximum_bytes, "source_too_large")
         .when(F.position(F.unhex(F.lit("00")), F.col("content")) > 0, "binary_source")
         .when(F.col("content").isNull(), "source_not_regular")
         .when(F.col("text").isNull(), "unsupported_encoding")
