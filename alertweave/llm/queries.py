@@ -19,6 +19,7 @@ from alertweave.llm import (
     token_store,
     url_filter,
 )
+from alertweave.llm.oracles import ORACLES
 from alertweave.llm.shared import table
 
 
@@ -91,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_importance": op9_importance,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
