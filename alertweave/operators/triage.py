@@ -381,7 +381,14 @@ def run_role(frame: DataFrame, role: str, kind: str, settings: Settings, respons
             "request_sha256": f"sha{attempt}", "raw_json": f"raw{attempt}",
             "response_sha256": f"response{attempt}",
         }
-        return rows.join(lookup.withColumnsRenamed(names), f"sha{attempt}", "left")
+        # a call that is not made looks for its own occurrence, which no recording has: as nulls,
+        # nearly all repairs would meet in one task
+        sought = F.coalesce(F.col(f"sha{attempt}"), F.concat_ws("/", *OCCURRENCE))
+        return (
+            rows.withColumn("_sought", sought)
+            .join(lookup.withColumnsRenamed(names | {"request_sha256": "_sought"}), "_sought", "left")
+            .drop("_sought")
+        )
 
     first = recorded(
         frame.withColumn(

@@ -573,7 +573,7 @@ t AS (SELECT bool_or(status = 'failed') AS bad, sum(alert_count) FILTER (status
 SELECT 0 AS ord, '- Status: `' || CASE WHEN bad THEN 'incomplete' ELSE 'completed' END || '`' AS value FROM t
 UNION ALL SELECT 1, '- Alerts: ' || decided || '/' || total FROM t
 UNION ALL SELECT 2, '- Decisions: TP ' || tp || ' / FP ' || fp || ' / NMC ' || nmc FROM t
-UNION ALL SELECT 3, '- Model calls: 0' UNION ALL SELECT 4, 'This is automated secondary triage and never dismisses an upstream alert.'""",
+UNION ALL SELECT 3, '- Model calls: 0' UNION ALL SELECT 4, 'Labels are second opinions; no alert is closed by this run.'""",
     "before_after": """
 SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1995
   AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 2001)""",
@@ -648,7 +648,7 @@ WITH b AS (SELECT 'page-' || page_id AS item, html AS body FROM pages UNION ALL
 SELECT item, sha256({_ESCAPED}) AS escaped_sha256, length({_ESCAPED}) AS escaped_length FROM b""",
     "report_unknowns": """
 WITH w AS (SELECT doc_id, lang, source, regexp_extract_all(text, '[a-z]+') AS words FROM documents),
-l AS (SELECT doc_id, list_concat(list_concat(words, list_filter(words, lambda x: length(x) > 6)), list_concat([lang], list_concat(list_reverse(words), ['Context omission ' || source || ': ' || lang]))) AS items FROM w)
+l AS (SELECT doc_id, list_concat(list_concat(words, list_filter(words, lambda x: length(x) > 6)), list_concat([lang], list_concat(list_reverse(words), ['Left out of the context: ' || source || ': ' || lang]))) AS items FROM w)
 SELECT doc_id, array_to_string(list_filter(items, lambda x, i: list_position(items, x) = i), '|') AS unknowns FROM l""",
     "rejects": """
 SELECT sha256(text) AS raw_sarif_sha256, 'ingest' AS stage, 'INVALID_SARIF' AS error_code, 'token=[REDACTED] rest' AS detail, 'INVALID_SARIF' AS terminal_state FROM documents

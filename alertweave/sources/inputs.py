@@ -141,7 +141,8 @@ DECISION_LINE = (
 
 
 def read_decisions(spark: SparkSession, location: str) -> DataFrame:
-    """Decision rows of report JSONL. Strict lines only; others show a null ``label``."""
+    """Decision rows of report JSONL; ``valid`` is false where a line is not strict JSON or lacks
+    its occurrence or label."""
     lines = spark.read.text(location)
     value = F.when(is_strict_json(F.col("value")), F.from_json("value", DECISION_LINE))
     parsed = lines.select(value.alias("row"))
@@ -154,6 +155,13 @@ def read_decisions(spark: SparkSession, location: str) -> DataFrame:
         F.col("row.alert.primary_location.path").alias("path"),
         F.col("row.alert.primary_location.start_line").alias("start_line"),
         F.col("row.triage.final_decision.label").alias("label"),
+        F.coalesce(
+            reference["raw_sarif_sha256"].rlike(fixed.SHA256_PATTERN)
+            & (reference["run_index"] >= 0)
+            & (reference["result_index"] >= 0)
+            & F.col("row.triage.final_decision.label").isin(fixed.LABELS),
+            F.lit(False),
+        ).alias("valid"),
     )
 
 
@@ -188,11 +196,21 @@ def check_baseline_row(prefix: str = "") -> Column:
 
 
 def read_cases(spark: SparkSession, location: str) -> DataFrame:
-    return spark.read.schema(schemas.EXPERIMENT_CASE).json(location)
+    """Experiment cases, one strict object per line; ``valid`` is false for any other line."""
+    rows = spark.read.text(location).select(
+        strict_struct(F.col("value"), f"struct<{_ddl(schemas.EXPERIMENT_CASE)}>").alias("row")
+    )
+    return rows.select("row.*", F.col("row").isNotNull().alias("valid"))
 
 
 def read_ground_truth(spark: SparkSession, location: str) -> DataFrame:
-    return spark.read.schema(schemas.GROUND_TRUTH_CASE).option("multiLine", "true").json(location)
+    """Ground truth, one strict object per file; ``valid`` is false for any other file."""
+    rows = _whole_files(spark, location, "*.json").select(
+        strict_struct(
+            decode_utf8(F.col("content")), f"struct<{_ddl(schemas.GROUND_TRUTH_CASE)}>"
+        ).alias("row")
+    )
+    return rows.select("row.*", F.col("row").isNotNull().alias("valid"))
 
 
 def parse_checksums(lines: DataFrame) -> DataFrame:

@@ -125,3 +125,58 @@ def test_sliced_ordinal_equals_plain_order(spark):
     got = {r.e: r.sequence for r in audit.sliced_ordinal(frame, "k", "t", "e", "day").collect()}
     ordered = sorted((t, e) for k, t, e in rows if k == "u")
     assert {e: n for n, (_, e) in enumerate(ordered)} | {99: 0} == got
+
+
+def test_readers_keep_every_line(spark, tmp_path):
+    import json
+
+    from alertweave.sources import inputs
+
+    good = {"id": "a", "source_root": None, "expected_result_count": 3, "mode": "triage"}
+    lines = [json.dumps(good), json.dumps(good | {"unknown": 1}), "{broken", json.dumps(good | {"expected_result_count": "3"})]
+    (tmp_path / "cases.jsonl").write_text("\n".join(lines))
+    cases = inputs.read_cases(spark, str(tmp_path / "cases.jsonl")).collect()
+    assert sorted(row.valid for row in cases) == [False, False, False, True]
+    (tmp_path / "truth").mkdir()
+    truth = {"schema_version": "1.0", "case_id": "c", "sarif": {"run_index": 0, "result_index": 1}}
+    (tmp_path / "truth" / "a.json").write_text(json.dumps(truth, indent=1))
+    (tmp_path / "truth" / "b.json").write_text("[]")
+    assert sorted(row.valid for row in inputs.read_ground_truth(spark, str(tmp_path / "truth")).collect()) == [False, True]
+    decision = {
+        "alert": {"raw_result_reference": {"raw_sarif_sha256": "a" * 64, "run_index": 0, "result_index": 1}},
+        "triage": {"final_decision": {"label": "TP"}},
+    }
+    (tmp_path / "decisions.jsonl").write_text(json.dumps(decision) + "\nnot json\n" + json.dumps({"alert": {}}))
+    decisions = inputs.read_decisions(spark, str(tmp_path / "decisions.jsonl")).collect()
+    assert sorted((row.valid, row.label or "") for row in decisions) == [(False, ""), (False, ""), (True, "TP")]
+    (tmp_path / "responses").mkdir()
+    for name in ("1" * 64, "2" * 64):
+        (tmp_path / "responses" / f"{name}.json").write_text('{"x": 1}' * (1 if name[0] == "1" else 40))
+    bounded = inputs.read_responses(spark, str(tmp_path / "responses"), maximum_bytes=100).collect()
+    assert sorted(row.raw_json for row in bounded) == ["", '{"x": 1}']
+    supplements = inputs.read_supplements(spark, str(tmp_path / "responses"), maximum_bytes=100).collect()
+    assert len(supplements) == 2 and sum("supplement exceeds the size bound" in row.issues for row in supplements) == 1
+
+
+def test_large_files_are_hashed(spark, tmp_path):
+    import hashlib
+
+    from alertweave.sources import source_files
+
+    text = "x" * 3_000_000
+    (tmp_path / "big.txt").write_text(text)
+    for bound, status in ((None, "ok"), (1000, "source_too_large")):
+        (row,) = source_files.scan_sources(spark, str(tmp_path), "repo", maximum_bytes=bound).collect()
+        assert (row.status, row.artifact_sha256) == (status, hashlib.sha256(text.encode()).hexdigest())
+        assert (row.text == text) == (bound is None)
+
+
+def test_repeated_documents_have_reject_rows(spark):
+    from alertweave.sources.documents import repeated_documents, unique_documents
+
+    rows = [("a", "r1", "c1"), ("a", "r1", "c1"), ("a", "r2", None), ("b", None, None), ("c", "r1", "c1"), ("c", "r0", "c1")]
+    documents = spark.createDataFrame(rows, "raw_sarif_sha256 string, repository_identity string, commit_sha string")
+    kept, left_out = unique_documents(documents), repeated_documents(documents)
+    assert sorted(row.raw_sarif_sha256 for row in kept.collect()) == ["a", "b", "c"]
+    assert kept.count() + left_out.count() == len(rows)
+    assert sorted(row.raw_sarif_sha256 for row in left_out.collect()) == ["a", "a", "c"]
