@@ -1,14 +1,14 @@
 """Token ids in a compact file format: canonical length-limited Huffman codes in blocks.
 
-A first pass over all texts counts how often each id occurs. From these counts, package-merge gives
-code lengths under a limit, and lengths alone fix the canonical codes. A second pass brings the
-texts into ``doc_id`` order by range partitioning, encodes them, and writes blocks of whole
-documents. Every ``CHECKPOINT`` ids, a block notes the bit offset; these are independent starting
+Texts are brought into ``doc_id`` order by range partitioning and tokenized once; the ids are kept in
+an intermediate table. How often each id occurs in it gives, by package-merge, code lengths under a
+limit, and lengths alone fix the canonical codes. A second pass over the ids writes them as blocks
+of whole documents. Every ``CHECKPOINT`` ids, a block notes the bit offset; these are independent starting
 points, so that decoding looks up one id of each of them at a time in a table over the next
 ``limit`` bits, and any part of a block can be read alone.
 
-The store has two Parquet tables: ``codebook`` (id, code length) and ``blocks`` (part, block, the
-documents' ids and lengths, bits, bit offsets). Spark writes and reads them, so they can be on any
+The store has two Parquet tables: ``codebook`` (id, code length) and ``blocks`` (range part, first
+id's place in it, the documents' ids and lengths, bits, bit offsets). Spark writes and reads them, so they can be on any
 file system. Nothing but the counts of the ids, at most one per vocabulary entry, reaches the driver.
 
 Tokenizing works on pieces between single blanks or line ends, each encoded by the tokenizer once
@@ -22,7 +22,6 @@ Repeated rows are kept, in a fixed order. An empty table gives an empty store an
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,18 +31,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alertweave.llm.shared import shared_folder
+from alertweave.llm.shared import shared_folder, stored
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 64
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_000_000
+TEXTS_AT_ONCE = 4000
 LEAST_LIMIT = 16
 
+# ids of rows without one are 0, with a mark: arrays and columns with nulls would turn to doubles
+IDS = "part int, within bigint, doc_id bigint, has_id boolean, n_tokens bigint, ids binary"
 BLOCKS = (
-    "part int, block int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint,"
-    " bits binary, offsets binary"
+    "part int, within bigint, doc_ids array<bigint>, has_ids array<boolean>, doc_tokens array<bigint>,"
+    " n_tokens bigint, bits binary, offsets binary"
 )
+#: white space other than blanks and line ends
+OTHER_SPACE = [chr(point) for point in range(0x110000) if chr(point).isspace() and chr(point) not in " \n"]
 
 
 # ------------------------------------------------------------------------------------- tokenizing
@@ -52,9 +56,6 @@ BLOCKS = (
 class PieceTokenizer:
     """Texts to arrays of ids, with a cache of pieces."""
 
-    # white space that is not one blank or line end between two other characters
-    ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
-
     def __init__(self, path: str) -> None:
         import tokenizers
 
@@ -97,19 +98,25 @@ class PieceTokenizer:
             found.update((piece, raw[edges[k] : edges[k + 1]]) for k, piece in enumerate(group))
         return found
 
+    @staticmethod
+    def is_odd(text: str) -> bool:
+        """Has white space that is not one blank or line end between two other characters."""
+        pairs = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+        return pairs or text[0] in " \n" or text[-1] in " \n" or any(space in text for space in OTHER_SPACE)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes."""
         out: list[bytes] = [b""] * len(texts)
         odd, cut = [], []
         for at, text in enumerate(texts):
             if text:
-                (cut if self.by_pieces and not self.ODD.search(text) else odd).append(at)
+                (cut if self.by_pieces and not self.is_odd(text) else odd).append(at)
         for at, ids in zip(odd, self.whole([texts[at] for at in odd]), strict=True):
             out[at] = ids.tobytes()
         # the first piece is looked up behind a line end, whose own id is then dropped
         parts = {at: ("\n" + texts[at]).replace("\n", " \n").split(" ")[1:] for at in cut}
         known = self.pieces
-        missing = {piece for pieces in parts.values() for piece in pieces if piece not in known}
+        missing = set().union(*parts.values()).difference(known)
         if missing:
             found = self.learn(sorted(missing))
             if len(known) + len(found) <= CACHE_PIECES:
@@ -137,8 +144,8 @@ def tokenized(texts: pd.Series, path: str, end_id: int) -> Iterator[np.ndarray]:
     tokenizer = tokenizer_of(path)
     end = np.array([end_id], dtype=tokenizer.kind).tobytes()
     values = texts.tolist()
-    for at in range(0, len(values), 1000):
-        for raw in tokenizer.encode(values[at : at + 1000]):
+    for at in range(0, len(values), TEXTS_AT_ONCE):
+        for raw in tokenizer.encode(values[at : at + TEXTS_AT_ONCE]):
             yield np.frombuffer(raw + end, dtype=tokenizer.kind)
 
 
@@ -227,33 +234,72 @@ class Codebook:
 # ------------------------------------------------------------------------------------ Spark steps
 
 
-def id_counts(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def token_ids(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """The ids of all documents by ``part`` and place in it, both in ascending ``doc_id``."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        within = 0
+        for batch in batches:
+            coded = list(tokenized(batch["text"], path, end_id))
+            sizes = np.array([len(ids) for ids in coded], dtype=np.int64)
+            ends = within + np.cumsum(sizes)
+            yield pd.DataFrame(
+                {
+                    "part": batch["part"],
+                    "within": ends - sizes,
+                    "doc_id": batch["doc_id"],
+                    "has_id": batch["has_id"],
+                    "n_tokens": sizes,
+                    "ids": [ids.tobytes() for ids in coded],
+                }
+            )
+            within = int(ends[-1]) if len(ends) else within
+
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        documents.select("doc_id", "text")
+        .repartitionByRange(partitions, "doc_id")
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        .select(
+            F.spark_partition_id().alias("part"),
+            F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"),
+            F.col("doc_id").isNotNull().alias("has_id"),
+            "text",
+        )
+        .mapInPandas(encode, IDS)
+    )
+
+
+def ids_of(row_ids: bytes, n_tokens: int) -> np.ndarray:
+    return np.frombuffer(row_ids, dtype="<u2" if len(row_ids) == 2 * n_tokens else "<u4")
+
+
+def id_counts(coded: DataFrame) -> DataFrame:
     """How often each id occurs in all documents: ``id, n``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(tokenizer_of(path).begins), dtype=np.int64)
+        total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            held, n_held = [], 0
-            for ids in tokenized(batch["text"], path, end_id):
-                held.append(ids)
-                n_held += len(ids)
-                if n_held >= BLOCK_TOKENS:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, n_held = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
+            for row in batch.itertuples(index=False):
+                ids = ids_of(row.ids, row.n_tokens)
+                if ids.itemsize == 2 and len(ids) < 1 << 12:
+                    np.add.at(total, ids, 1)
+                else:
+                    more = np.bincount(ids, minlength=len(total))
+                    more[: len(total)] += total
+                    total = more
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
-    return (
-        documents.select("text").mapInPandas(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    )
+    counts = coded.select("n_tokens", "ids").mapInPandas(count, "id bigint, n bigint")
+    return counts.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_store(documents: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None:
     """Writes the store of all documents, in ascending ``doc_id``, into a new folder."""
     spark = documents.sparkSession
-    counts = id_counts(documents, path, end_id).toPandas().sort_values("id")
+    coded = stored(token_ids(documents, path, end_id), "ids")
+    counts = id_counts(coded).toPandas().sort_values("id")
     ids, n = counts["id"].to_numpy(), counts["n"].to_numpy()
     limit = max(LEAST_LIMIT, int(np.ceil(np.log2(max(2, len(ids))))) + 2)
     lengths = code_lengths(n, limit)
@@ -263,41 +309,38 @@ def write_store(documents: DataFrame, folder: str, path: str, end_id: int = END_
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Codebook(*codebook.value)
-        doc_ids: list[int | None] = []
-        held: list[np.ndarray] = []
-        part, made, n_held = 0, 0, 0
+        held: list[tuple[int, bool, np.ndarray]] = []
+        place, n_held = (0, 0), 0
 
         def block() -> pd.DataFrame:
-            bits, offsets = coder.encode(np.concatenate(held))
-            row = (part, made, doc_ids[:], [len(one) for one in held], n_held, bits, offsets)
-            return pd.DataFrame([row], columns=[field.split(" ")[0] for field in BLOCKS.replace(", ", ",").split(",")])
+            bits, offsets = coder.encode(np.concatenate([tokens for _, _, tokens in held]))
+            return pd.DataFrame(
+                {
+                    "part": [place[0]],
+                    "within": [place[1]],
+                    "doc_ids": [[name for name, _, _ in held]],
+                    "has_ids": [[has_id for _, has_id, _ in held]],
+                    "doc_tokens": [[len(tokens) for _, _, tokens in held]],
+                    "n_tokens": [n_held],
+                    "bits": [bits],
+                    "offsets": [offsets],
+                }
+            )
 
         for batch in batches:
-            if len(batch):
-                part = int(batch["part"].iloc[0])
-            names = [None if pd.isna(name) else int(name) for name in batch["doc_id"]]
-            for name, tokens in zip(names, tokenized(batch["text"], path, end_id), strict=True):
-                doc_ids.append(name)
-                held.append(tokens)
-                n_held += len(tokens)
-                if n_held >= BLOCK_TOKENS:
+            for row in batch.itertuples(index=False):
+                # a block ends when it is full, or where the rows do not go on in its part
+                if held and (n_held >= BLOCK_TOKENS or (row.part, row.within) != (place[0], place[1] + n_held)):
                     yield block()
-                    made, n_held = made + 1, 0
-                    doc_ids.clear()
-                    held.clear()
+                    held, n_held = [], 0
+                if not held:
+                    place = (row.part, row.within)
+                held.append((row.doc_id, row.has_id, ids_of(row.ids, row.n_tokens)))
+                n_held += row.n_tokens
         if held:
             yield block()
 
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        documents.select("doc_id", "text")
-        .repartitionByRange(partitions, "doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .withColumn("part", F.spark_partition_id())
-        .mapInPandas(blocks, BLOCKS)
-        .write.option("compression", "none")
-        .parquet(f"{folder}/blocks")
-    )
+    coded.mapInPandas(blocks, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
@@ -317,30 +360,29 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "part": row.part,
-                        "block": row.block,
-                        "doc_id": pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], dtype="Int64"),
-                        "within": ends - sizes,
+                        "doc_id": row.doc_ids,
+                        "has_id": row.has_ids,
+                        "within": row.within + ends - sizes,
                         "n_tokens": sizes,
                         "ids_crc32": checks,
                     }
                 )
 
     rows = stored_blocks.mapInPandas(
-        documents, "part int, block int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint"
-    )
-    sizes = stored_blocks.select("part", "block", "n_tokens")
-    before_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before_block = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(before_part), F.lit(0)).alias("part_start")
+        documents, "part int, doc_id bigint, has_id boolean, within bigint, n_tokens bigint, ids_crc32 bigint"
     )
-    starts = sizes.join(parts, "part").select(
-        "part",
-        "block",
-        (F.col("part_start") + F.coalesce(F.sum("n_tokens").over(before_block), F.lit(0))).alias("block_start"),
+    # one row per range part
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        stored_blocks.groupBy("part")
+        .agg(F.sum("n_tokens").alias("n"))
+        .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     )
-    return rows.join(starts, ["part", "block"]).select(
-        "doc_id", (F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32"
+    return rows.join(parts, "part").select(
+        F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"),
+        (F.col("part_start") + F.col("within")).alias("start"),
+        "n_tokens",
+        "ids_crc32",
     )
 
 
