@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertweave.functions.expressions import let
-from alertweave.llm.shared import lower_ascii
+from alertweave.llm.shared import UPPER, lower_ascii
 
 THRESHOLD = 0.9
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,6 +61,12 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(WORD, text.lower())))
 
 
+def spaced(text: Column) -> Column:
+    """The words of a text with a blank on either side of each: cheap to search for whole words."""
+    other = "".join(chr(point) for point in range(0x80) if not re.match(WORD, chr(point)) and chr(point) not in UPPER)
+    return F.concat(F.lit(" "), F.translate(text, UPPER + other, UPPER.lower() + " " * len(other)), F.lit(" "))
+
+
 def word_frequencies(documents: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How often each template word occurs in all texts."""
     counts = (
@@ -98,12 +104,12 @@ def license_labels(
     )
     first_words = sorted({entry[0] for entry in prefixes})
     ranks = F.create_map(*[F.lit(item) for word in order for item in (word, rank[word])])
-    may_match = lambda text: F.exists(F.array(*map(F.lit, first_words)), lambda word: F.contains(text, word))
+    between = F.array(*[F.lit(f" {word} ") for word in first_words])
+    may_match = lambda text: let(spaced(text), lambda words: F.exists(between, lambda word: F.contains(words, word)))
     lower = lower_ascii(F.col("text"))
     blocks = (
-        documents.select("doc_id", F.xxhash64("text").alias("text_hash"), lower.alias("lower"))
-        .filter(may_match(F.col("lower")))
-        .select("doc_id", "text_hash", F.posexplode(F.split("lower", r"\n")).alias("block", "line"))
+        documents.filter(may_match(F.col("text")))
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(lower, r"\n")).alias("block", "line"))
         .filter(may_match(F.col("line")))
         .select(
             "doc_id",
