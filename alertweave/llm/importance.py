@@ -1,9 +1,9 @@
 """Quality classification by importance resampling.
 
-Two generative models over hashed words and word pairs, one of target text (labelled as good and
-not toxic) and one of all text, give each document its importance: the sum of the log ratios of its
+Two generative models over hashed words and word pairs, one of target text (labelled as good) and
+one of all text, give each document its importance: the sum of the log ratios of its
 words and pairs. Gumbel noise is added and the ``k`` documents with the largest sums are kept, which
-draws them without replacement in proportion to their importance. ``k`` is the share of clean
+draws them without replacement in proportion to their importance. ``k`` is the share of good
 documents among the labelled ones, times a small allowance, of all rows.
 
 Counts of the raw model cover every document. The target model is fitted on at most
@@ -110,20 +110,20 @@ def bucket_counts(documents: DataFrame) -> np.ndarray:
     return total
 
 
-def clean_labels(labels: DataFrame) -> DataFrame:
-    """``doc_id, clean``: good quality and not toxic by all of a document's labels."""
+def good_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, good``: by the worst of a document's labels."""
     return (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id")
-        .agg(((F.min("quality") >= 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("clean"))
+        .agg((F.min("quality") >= 1).alias("good"))
     )
 
 
 def log_ratios(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """Per bucket, the log of its share in target text over its share in all text."""
     target = (
-        clean_labels(labels)
-        .filter("clean")
+        good_labels(labels)
+        .filter("good")
         .orderBy(seeded(SEED, F.col("doc_id")), "doc_id")
         .limit(TARGET_DOCUMENTS)
         .select("doc_id")
@@ -197,11 +197,11 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 
 def kept_share(ids: DataFrame, labels: DataFrame, allowance: float = ALLOWANCE) -> float:
-    """Share of rows to keep: that of clean ones among the labelled, and a little more."""
-    clean, known = (
-        ids.join(clean_labels(labels), "doc_id").agg(F.sum(F.col("clean").cast("long")), F.count(F.lit(1))).first()
+    """Share of rows to keep: that of good ones among the labelled, and a little more."""
+    good, known = (
+        ids.join(good_labels(labels), "doc_id").agg(F.sum(F.col("good").cast("long")), F.count(F.lit(1))).first()
     )
-    return min(1.0, allowance * clean / known) if known else 1.0
+    return min(1.0, allowance * good / known) if known else 1.0
 
 
 def resample(weighed: DataFrame, labels: DataFrame) -> DataFrame:
