@@ -313,6 +313,19 @@ SELECT source AS repository_identity,
   CASE source WHEN 'src1' THEN 'version is not 2.1.0' WHEN 'src2' THEN 'run with results requires columnKind'
               WHEN 'src3' THEN 'not strict JSON' WHEN 'src4' THEN 'unexpected JSON type' ELSE 'accepted' END AS reason,
   count(*) AS documents FROM documents GROUP BY ALL""",
+    "repeated_documents": """
+SELECT sha256(text) AS raw_sarif_sha256, min(source) AS repository_identity, count(*) - 1 AS rejected FROM documents GROUP BY 1""",
+    "rule_resolve": """
+WITH r AS (
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN l_linenumber - 2 END AS i,
+    CASE WHEN l_returnflag <> 'A' THEN 'r' || (floor(l_quantity)::INT % 4) END AS id FROM lineitem
+)
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN i < 0 THEN 'ruleIndex is negative' WHEN i > 2 THEN 'ruleIndex is out of range'
+       WHEN id <> 'r' || i THEN 'ruleId and ruleIndex name different rules'
+       WHEN id IS NULL AND i IS NULL THEN 'ruleId or ruleIndex is required' END AS reason,
+  coalesce(id, CASE WHEN i BETWEEN 0 AND 2 THEN 'r' || i END) AS rule_id,
+  CASE WHEN id IS NOT NULL THEN nullif(id, 'r3') WHEN i BETWEEN 0 AND 2 THEN 'r' || i END AS declared FROM r""",
     "checksums": """
 SELECT sha256(text) AS sha256, CASE WHEN lang = 'fr' THEN '../' ELSE 'doc-' END || doc_id || '.txt' AS name,
   lang <> 'fr' AS valid FROM documents""",

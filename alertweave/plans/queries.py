@@ -102,6 +102,21 @@ def document_gate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def repeated_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text once, in its first source, with the number of its copies that are rejected."""
+    files = table(spark, sf, "documents").select(
+        E.sha256(F.col("text")).alias("raw_sarif_sha256"),
+        F.col("source").alias("repository_identity"),
+        F.sha1(F.col("doc_id").cast("string")).alias("commit_sha"),
+    )
+    rejected = docs.repeated_documents(files).groupBy("raw_sarif_sha256").agg(F.count("*").alias("rejected"))
+    return (
+        docs.unique_documents(files)
+        .join(rejected, "raw_sarif_sha256", "left")
+        .select("raw_sarif_sha256", "repository_identity", F.coalesce("rejected", F.lit(0)).alias("rejected"))
+    )
+
+
 def checksums(spark: SparkSession, sf: str) -> DataFrame:
     """Checksum lists written for all documents and read back; some names are unsafe."""
     files = table(spark, sf, "documents").select(
@@ -192,6 +207,21 @@ def analysis_ids(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rule_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as results that name one of three rules by id, by index, by both or by none."""
+    rules = F.array(*[E.record(id=F.lit(f"r{k}")) for k in range(3)])
+    result = E.record(
+        ruleId=F.when(F.col("l_returnflag") != "A", F.concat(F.lit("r"), (F.col("l_quantity").cast("int") % 4).cast("string"))),
+        ruleIndex=F.when(F.col("l_linenumber") < 7, (F.col("l_linenumber") - 2).cast("int")),
+    )
+    return (
+        table(spark, sf, "lineitem")
+        .withColumn("result", result)
+        .select("l_orderkey", "l_linenumber", normalize.resolve_rule(F.col("result"), rules).alias("picked"))
+        .select("l_orderkey", "l_linenumber", "picked.reason", "picked.rule_id", F.col("picked.rule.id").alias("declared"))
+    )
+
+
 def rule_families(spark: SparkSession, sf: str) -> DataFrame:
     rule = (
         F.when(F.col("l_returnflag") == "A", "java/unreleased-lock")
@@ -406,7 +436,7 @@ def context_completeness(spark: SparkSession, sf: str) -> DataFrame:
     """The whole context stage over all alerts, with a budget that long lines exceed."""
     alert_rows = cut_lineage(normalize.alerts(_normalized(spark, sf)))
     built = context.build_context(
-        alert_rows, carriers.document_files(spark, sf), "fixed_window", radius=1, budget=600
+        alert_rows, cut_lineage(carriers.document_files(spark, sf)), "fixed_window", radius=1, budget=600
     )
     return built.groupBy("repository_identity", "family", "completeness").agg(
         F.count("*").alias("alerts"),
@@ -430,7 +460,7 @@ def enclosing_callable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def callee_definitions(spark: SparkSession, sf: str) -> DataFrame:
-    files = carriers.code_files(spark, sf)
+    files = cut_lineage(carriers.code_files(spark, sf))
     by_line = callables.smallest_callable_by_line(callables.index_callables(files))
     return callables.index_definitions(files, by_line).select(
         "path", "name", "definitions", "callable_start", "callable_end"
@@ -546,7 +576,7 @@ def evidence_graph(spark: SparkSession, sf: str) -> DataFrame:
     alert_rows = cut_lineage(normalize.alerts(normalize.normalize(gated)))
     built = cut_lineage(
         context.build_context(
-            _without_columns(alert_rows), carriers.code_files(spark, sf), "path_function_slice"
+            _without_columns(alert_rows), cut_lineage(carriers.code_files(spark, sf)), "path_function_slice"
         )
     )
     graph = evidence.build_graph(_without_columns(alert_rows), built)
