@@ -405,8 +405,8 @@ windows AS (
 SELECT path, line_no, start_line, end_line, sha256(content) AS content_sha256, (strlen(content) + 3) // 4 AS tokens FROM windows""",
     "coordinates": f"""
 WITH {_LINES}
-SELECT path, line_no, CASE WHEN length(line) < 39 THEN 'declared start column 40' ELSE 'declared end column 60' END
-  || ' exceeds line length ' || length(line) || ' utf16CodeUnits' AS coordinate_error
+SELECT path, line_no, CASE WHEN length(line) < 39 THEN 'start column 40' ELSE 'end column 60' END
+  || ' lies behind a line of ' || length(line) || ' utf16CodeUnits' AS coordinate_error
 FROM lines WHERE length(line) < 59""",
     "token_estimate": "SELECT doc_id, (strlen(text) + 3) // 4 AS tokens FROM documents",
     "budget_pack": f"""
