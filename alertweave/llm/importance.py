@@ -34,7 +34,7 @@ SMOOTHING = 1.0
 SEED = 9
 ALLOWANCE = 1.02
 BINS = 1 << 16
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 FACTOR = 0x9E3779B97F4A7C15

@@ -20,10 +20,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 _SHIPPED: set[str] = set()
+# rows that reach a Python worker at once: texts are long, and a worker holds a batch several times
+ROWS_AT_ONCE = 2500
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, as they need not have it."""
+def prepare(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, as they need not have it, and
+    keeps the batches of Python workers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -37,7 +41,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
