@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertweave.llm.shared import likely_first
 from alertweave.session import cut_lineage
 
 PIVOTS = 512
@@ -122,7 +123,7 @@ def neighbours(
     shards, blocks = max(1, math.ceil(rows / shard_rows)), max(1, math.ceil(asked / QUERY_BLOCK))
     drawn = F.xxhash64(F.lit(SEED), "vec_id")
     sample: dict[int, list[list[float]]] = {}
-    for row in vectors.orderBy(drawn, "vec_id").limit(pivots).collect():
+    for row in vectors.filter(likely_first(drawn, pivots, rows)).orderBy(drawn, "vec_id").limit(pivots).collect():
         sample.setdefault(row["dimension"], []).append(row["vector"])
     shared = vectors.sparkSession.sparkContext.broadcast(
         {size: unit(np.array(some)) for size, some in sample.items() if len(some) >= LEAST_PIVOTS}

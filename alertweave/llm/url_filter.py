@@ -7,7 +7,7 @@ unigram word probabilities, with word counts taken from the text of all pages; s
 its words, also where its name is new. Path pieces are segmented alike, and numbers stand for their
 number of digits.
 
-Words of the dictionary are the ``DICTIONARY`` most frequent ones, and tokens are hashed to
+Words of the dictionary are the most frequent ones, at most ``DICTIONARY``, and tokens are hashed to
 ``1 << TOKEN_BITS`` buckets, so what tasks share has a fixed bound. A host name is segmented once per
 batch. Pages are never grouped by host.
 
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertweave.llm.shared import UPPER
+from alertweave.session import cut_lineage
 
 DICTIONARY = 50_000
 TOKEN_BITS = 16
@@ -65,17 +66,26 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 
 def word_counts(pages: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
-    """The most frequent words in the visible text of all pages; ties by word."""
+    """The most frequent words in the visible text of all pages: as many bins of like counts, each
+    a sixteenth of a doubling wide, as stay within the size together. So the driver gets the sizes
+    of some hundred bins and at most ``size`` words, however many tasks there are."""
     text = F.regexp_replace(F.lower("html"), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"[a-z]+"), 0)).alias("word"))
-    top = (
+    counts = cut_lineage(
         words.filter(F.length("word") <= LONGEST_WORD)
         .groupBy("word")
         .count()
-        .orderBy(F.col("count").desc(), "word")
-        .limit(size)
+        .withColumn("bin", F.floor(16 * F.log2("count")))
     )
-    return {row["word"]: row["count"] for row in top.collect()}
+    held, least = 0, None
+    for one in sorted(counts.groupBy("bin").agg(F.count("word").alias("n")).collect(), key=lambda row: -row["bin"]):
+        held += one["n"]
+        if held > size:
+            break
+        least = one["bin"]
+    if least is None:
+        return {}
+    return {row["word"]: row["count"] for row in counts.filter(F.col("bin") >= least).collect()}
 
 
 class Segmenter:
