@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.llm.shared import seeded, stored
+from alertweave.llm.shared import likely_first, seeded
 from alertweave.session import cut_lineage
 
 BUCKET_BITS = 16
@@ -121,10 +122,10 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 def log_ratios(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """Per bucket, the log of its share in target text over its share in all text."""
+    good = good_labels(labels).filter("good").select("doc_id", seeded(SEED, F.col("doc_id")).alias("order"))
     target = (
-        good_labels(labels)
-        .filter("good")
-        .orderBy(seeded(SEED, F.col("doc_id")), "doc_id")
+        good.filter(likely_first(F.col("order"), TARGET_DOCUMENTS, good.count()))
+        .orderBy("order", "doc_id")
         .limit(TARGET_DOCUMENTS)
         .select("doc_id")
     )
@@ -139,15 +140,14 @@ def log_ratios(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log((aimed + weight * share) / (aimed.sum() + weight)) - np.log(share)
 
 
-def importance(documents: DataFrame, labels: DataFrame, *carried: Column) -> DataFrame:
+def importance(documents: DataFrame, ratios: Broadcast[np.ndarray], *carried: Column) -> DataFrame:
     """The carried columns with ``log_weight``, ``n_features`` and the noisy ``key``."""
-    shared = documents.sparkSession.sparkContext.broadcast(log_ratios(documents, labels))
 
     def weigh(texts: pd.Series) -> pd.DataFrame:
         sums, sizes = [], []
         for piece in pieces(texts):
             buckets, n = features(piece)
-            running = np.concatenate(([0.0], np.cumsum(shared.value[buckets])))
+            running = np.concatenate(([0.0], np.cumsum(ratios.value[buckets])))
             ends = np.cumsum(n)
             sums.append(running[ends] - running[ends - n])
             sizes.append(n)
@@ -204,20 +204,23 @@ def kept_share(ids: DataFrame, labels: DataFrame, allowance: float = ALLOWANCE)
     return min(1.0, allowance * good / known) if known else 1.0
 
 
-def resample(weighed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds ``kept`` to rows with ``doc_id`` and ``key``."""
+def weigh_all(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, Broadcast[np.ndarray]]:
+    """Every document's weight, the least key that is kept, and the ratios."""
+    ratios = documents.sparkSession.sparkContext.broadcast(log_ratios(documents, labels))
+    weighed = cut_lineage(importance(documents, ratios, F.col("doc_id")))
     keys = weighed.select("doc_id", "key")
     k = math.ceil(kept_share(keys.select("doc_id"), labels) * keys.count())
-    return weighed.withColumn("kept", F.col("key") >= F.lit(kth_largest(keys, k)))
+    return weighed, kth_largest(keys, k), ratios
 
 
 def quality_classifier(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, log_weight, n_features, key, kept`` for every document."""
-    weighed = cut_lineage(importance(documents, labels, F.col("doc_id")))
-    return resample(weighed, labels)
+    weighed, least, _ = weigh_all(documents, labels)
+    return weighed.withColumn("kept", F.col("key") >= F.lit(least))
 
 
 def kept_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents drawn, with the columns they came with."""
-    weighed = stored(importance(documents, labels, F.struct("*").alias("row"), F.col("doc_id")), "weighed")
-    return resample(weighed, labels).filter("kept").select("row.*")
+    """The documents drawn, with the columns they came with. Texts are weighed again where they
+    lie: that is cheaper than to move or keep them."""
+    _, least, ratios = weigh_all(documents, labels)
+    return importance(documents, ratios, F.struct("*").alias("row")).filter(F.col("key") >= F.lit(least)).select("row.*")

@@ -26,7 +26,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertweave.llm.shared import stored
 from alertweave.session import cut_lineage
 
 RADIUS = 2
@@ -154,27 +153,23 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_of_each(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The document with the smallest ``doc_id`` of each component, with the columns it came with."""
-    marked = stored(
-        documents.select(F.struct("*").alias("row"), "doc_id", fingerprint(F.col("text")).alias("print")), "marked"
-    )
+    text_hash = F.xxhash64("text").alias("text_hash")
+    marked = cut_lineage(documents.select("doc_id", text_hash, fingerprint(F.col("text")).alias("print")))
     groups = classes(marked.select("doc_id", "print"), radius)
-    # of the fingerprints that share the smallest id, and of their rows, one
-    stays = groups.join(
-        marked.groupBy("doc_id", "print").agg(F.min(F.xxhash64("row.text")).alias("text_hash")), "print"
-    ).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # of the texts that share the smallest id, one
     stays = (
-        stays.groupBy("root")
-        .agg(F.min_by(F.struct("doc_id", "print", "text_hash"), F.struct("print", "text_hash")).alias("stay"))
-        .select("stay.*")
-    )
-    same = [F.col(f"m.{name}").eqNullSafe(F.col(f"s.{name}")) for name in ("doc_id", "print")]
-    first = F.row_number().over(
-        Window.partitionBy("m.doc_id", "m.print").orderBy("text_hash")
+        marked.join(groups, "print")
+        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
+        .agg(F.min(F.struct("text_hash", "doc_id")).alias("stay"))
+        .select(F.col("stay.doc_id").alias("stay_id"), F.col("stay.text_hash").alias("stay_hash"))
     )
+    # and of rows that repeat it, one
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("doc_id"))
     return (
-        marked.alias("m")
-        .join(stays.alias("s"), [*same, F.xxhash64("m.row.text") == F.col("s.text_hash")])
+        documents.select(F.struct("*").alias("row"), "doc_id", text_hash)
+        .join(stays, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash")))
         .withColumn("copy", first)
         .filter(F.col("copy") == 1)
-        .select("m.row.*")
+        .select("row.*")
     )

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertweave.functions.expressions import let
+from alertweave.functions.expressions import keep_rows, let
 from alertweave.llm.shared import BLANKS, stored, word_count
 from alertweave.session import cut_lineage
 
@@ -192,8 +192,12 @@ def cutoffs(
     ).select("stratum", F.array(*RULES).alias("cutoffs"))
 
 
-def judge(measures: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """Adds ``kept`` to measured documents with ``doc_id`` and ``stratum``."""
+def fit(measures: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The cutoffs of each stratum for measured documents with ``doc_id`` and ``stratum``.
+
+    They are written and read back, so that Spark knows how small they are when it plans the join
+    with the documents.
+    """
     quality = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -204,7 +208,11 @@ def judge(measures: DataFrame, labels: DataFrame, **settings) -> DataFrame:
         .select("doc_id", "stratum", "measures")
         .join(quality, "doc_id")
     )
-    chosen = cutoffs(labelled, **settings).select(F.col("stratum").alias("of_stratum"), "cutoffs")
+    return stored(cutoffs(labelled, **settings).select(F.col("stratum").alias("of_stratum"), "cutoffs"), "cutoffs")
+
+
+def judge(measures: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Adds ``kept`` to measured documents."""
     passed = F.coalesce(
         ~F.exists(
             F.zip_with("measures", "cutoffs", lambda value, cut: F.coalesce(value > cut, F.lit(False))),
@@ -226,12 +234,12 @@ def stratum_of() -> Column:
 def quality_rules(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """A row per document: base counts, ``base_failed`` and ``kept``, with the measures."""
     measures = cut_lineage(measured(documents, F.col("doc_id"), stratum_of()))
-    return judge(measures, labels, **settings)
+    return judge(measures, fit(measures, labels, **settings))
 
 
 def kept_documents(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The documents the rules keep, with the columns they came with."""
-    measures = stored(
-        measured(documents, F.struct("*").alias("row"), F.col("doc_id"), stratum_of()), "quality"
-    )
-    return judge(measures, labels, **settings).filter("kept").select("row.*")
+    """The documents the rules keep, with the columns they came with. Texts are measured again
+    where they lie, so that none is moved or kept on the way."""
+    chosen = fit(cut_lineage(measured(documents, F.col("doc_id"), stratum_of())), labels, **settings)
+    judged = judge(measured(documents, F.struct("*").alias("row"), stratum_of()), chosen)
+    return keep_rows(judged, F.col("kept")).select("row.*")

@@ -43,7 +43,8 @@ def test_weights_are_log_ratios_of_smoothed_models(documents, labels):
     for b in raw:
         share = (raw[b] + im.SMOOTHING) / (all_raw + heavy)
         ratios[b] = math.log((aimed[b] + heavy * share) / (all_aimed + heavy)) - math.log(share)
-    got = im.importance(documents, labels, F.col("doc_id"), F.col("text")).collect()
+    ratios_of_all = documents.sparkSession.sparkContext.broadcast(im.log_ratios(documents, labels))
+    got = im.importance(documents, ratios_of_all, F.col("doc_id"), F.col("text")).collect()
     assert len(got) == len(rows)
     for r in got:
         own = mine[r.doc_id, r.text]
@@ -66,7 +67,8 @@ def test_kth_largest(spark):
 
 
 def test_noise_is_gumbel_and_repeatable(documents, labels):
-    noisy = im.importance(documents, labels, F.col("doc_id"), F.col("text")).select("doc_id", "text", F.col("key") - F.col("log_weight"))
+    ratios = documents.sparkSession.sparkContext.broadcast(im.log_ratios(documents, labels))
+    noisy = im.importance(documents, ratios, F.col("doc_id"), F.col("text")).select("doc_id", "text", F.col("key") - F.col("log_weight"))
     rows = noisy.collect()
     assert Counter(map(tuple, rows)) == Counter(map(tuple, noisy.collect()))
     assert len({tuple(r) for r in rows}) < len(rows)  # the repeated rows draw alike
