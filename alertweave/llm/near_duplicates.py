@@ -36,17 +36,22 @@ SEGMENT_BITS = 32
 CHUNK = 1 << 16
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash per shingle; a text with fewer words is one shingle, and one without words has none."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(word) + 1 for word in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(shingle, len(words))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[start:end], HASH_SEED) for start, end in spans], dtype="<u8")
+    return np.array([digest(joined[start:end], HASH_SEED) for start, end in spans], dtype="<u8")
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -155,7 +160,12 @@ def one_of_each(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The document with the smallest ``doc_id`` of each component, with the columns it came with."""
     text_hash = F.xxhash64("text").alias("text_hash")
     marked = cut_lineage(documents.select("doc_id", text_hash, fingerprint(F.col("text")).alias("print")))
-    groups = classes(marked.select("doc_id", "print"), radius)
+    return first_of_each(documents, marked, classes(marked.select("doc_id", "print"), radius))
+
+
+def first_of_each(documents: DataFrame, marked: DataFrame, groups: DataFrame) -> DataFrame:
+    """One document per root of ``groups`` (``print, root, component_id``), by the ``doc_id, text_hash, print`` of all."""
+    text_hash = F.xxhash64("text").alias("text_hash")
     # of the texts that share the smallest id, one
     stays = (
         marked.join(groups, "print")
