@@ -13,7 +13,8 @@ file system. Nothing but the counts of the ids, at most one per vocabulary entry
 
 Tokenizing works on pieces between single blanks or line ends, each encoded by the tokenizer once
 per worker and kept in a bounded cache; a byte-level pre-tokenizer never joins over such a blank.
-A text with any other white space (doubled, at its ends, tabs) goes to the tokenizer as a whole.
+A text with any other white space (doubled, at its ends, tabs) goes to the tokenizer as a whole, and
+so does one with the string of an added token, which the store codes as that token.
 
 A null text is an empty one and consists of the end id alone. Rows with a null ``doc_id`` come first.
 Repeated rows are kept, in a fixed order. An empty table gives an empty store and an empty result.
@@ -54,20 +55,24 @@ OTHER_SPACE = [chr(point) for point in range(0x110000) if chr(point).isspace() a
 
 
 class PieceTokenizer:
-    """Texts to arrays of ids, with a cache of pieces."""
+    """Texts to arrays of ids, with a cache of pieces. Strings of added tokens in a text are ordinary
+    text, or these tokens with ``added_tokens``, which is the tokenizer's own way."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
         made = json.loads(self.tokenizer.to_str())
+        self.added = [token["content"] for token in made["added_tokens"]] if added_tokens else []
         step = made["pre_tokenizer"] or {}
         self.by_pieces = (
             made["normalizer"] is None
             and step.get("type") == "ByteLevel"
             and step.get("use_regex")
             and not step.get("add_prefix_space")
+            # pieces are joined by blanks to be learnt
+            and not any(char.isspace() for token in self.added for char in token)
         )
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -110,7 +115,8 @@ class PieceTokenizer:
         odd, cut = [], []
         for at, text in enumerate(texts):
             if text:
-                (cut if self.by_pieces and not self.is_odd(text) else odd).append(at)
+                whole = self.is_odd(text) or any(token in text for token in self.added)
+                (cut if self.by_pieces and not whole else odd).append(at)
         for at, ids in zip(odd, self.whole([texts[at] for at in odd]), strict=True):
             out[at] = ids.tobytes()
         # the first piece is looked up behind a line end, whose own id is then dropped
@@ -135,7 +141,7 @@ _TOKENIZERS: dict[str, PieceTokenizer] = {}
 def tokenizer_of(path: str) -> PieceTokenizer:
     """One per worker process, so that its cache lasts over tasks."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = PieceTokenizer(path)
+        _TOKENIZERS[path] = PieceTokenizer(path, added_tokens=True)
     return _TOKENIZERS[path]
 
 

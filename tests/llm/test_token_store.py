@@ -73,3 +73,15 @@ def test_store_holds_every_document_in_order(spark, documents, no_documents, tmp
     order = [-1 if r.doc_id is None else r.doc_id for r in rows]
     assert order == sorted(order)
     assert ts.token_store(no_documents, PATH).count() == 0
+
+
+def test_store_codes_added_tokens_as_the_library_does(spark, tmp_path):
+    texts = ["end <|endoftext|> next", "a b", "<|endoftext|>", "x<|endoftext|>\ny z", "< |endoftext|>"]
+    library = Tokenizer.from_file(PATH)
+    want = [[*library.encode(text, add_special_tokens=False).ids, 2] for text in texts]
+    assert want[0] == [437, 220, 50256, 1306, 2]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ts.write_store(frame, str(tmp_path / "store"), PATH)
+    rows = sorted(ts.read_store(spark, str(tmp_path / "store")).collect(), key=lambda r: r.start)
+    crcs = [zlib.crc32(np.array(ids, dtype="<u4").tobytes()) for ids in want]
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(i), c) for i, c in zip(want, crcs)]
