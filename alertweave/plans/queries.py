@@ -571,7 +571,8 @@ def supplement_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph of all alerts over brace code: node and edge counts per family and type."""
+    """The graph of all alerts over brace code: node counts per family and type, edge counts per
+    family and relation."""
     gated = docs.gate_documents(carriers.sarif_documents(spark, sf))
     alert_rows = cut_lineage(normalize.alerts(normalize.normalize(gated)))
     built = cut_lineage(
@@ -579,9 +580,18 @@ def evidence_graph(spark: SparkSession, sf: str) -> DataFrame:
             _without_columns(alert_rows), cut_lineage(carriers.code_files(spark, sf)), "path_function_slice"
         )
     )
-    graph = evidence.build_graph(_without_columns(alert_rows), built)
-    per_node = graph.select("family", F.explode("items").alias("item"), F.size("edges").alias("edges"))
-    return per_node.groupBy("family", F.col("item.body.type").alias("type")).agg(F.count("*").alias("nodes"))
+    return graph_counts(evidence.build_graph(_without_columns(alert_rows), built))
+
+
+def graph_counts(graph: DataFrame) -> DataFrame:
+    """``family, part, type, count``: nodes by type and edges by relation."""
+    nodes = F.transform("items", lambda item: F.struct(F.lit("node").alias("part"), item["body"]["type"].alias("type")))
+    edges = F.transform("edges", lambda edge: F.struct(F.lit("edge").alias("part"), edge["relation"].alias("type")))
+    return (
+        graph.select("family", F.explode(F.concat(nodes, edges)).alias("one"))
+        .groupBy("family", "one.part", "one.type")
+        .agg(F.count("*").alias("count"))
+    )
 
 
 def _without_columns(alert_rows: DataFrame) -> DataFrame:
