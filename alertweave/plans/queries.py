@@ -580,18 +580,7 @@ def evidence_graph(spark: SparkSession, sf: str) -> DataFrame:
             _without_columns(alert_rows), cut_lineage(carriers.code_files(spark, sf)), "path_function_slice"
         )
     )
-    return graph_counts(evidence.build_graph(_without_columns(alert_rows), built))
-
-
-def graph_counts(graph: DataFrame) -> DataFrame:
-    """``family, part, type, count``: nodes by type and edges by relation."""
-    nodes = F.transform("items", lambda item: F.struct(F.lit("node").alias("part"), item["body"]["type"].alias("type")))
-    edges = F.transform("edges", lambda edge: F.struct(F.lit("edge").alias("part"), edge["relation"].alias("type")))
-    return (
-        graph.select("family", F.explode(F.concat(nodes, edges)).alias("one"))
-        .groupBy("family", "one.part", "one.type")
-        .agg(F.count("*").alias("count"))
-    )
+    return evidence.graph_counts(evidence.build_graph(_without_columns(alert_rows), built))
 
 
 def _without_columns(alert_rows: DataFrame) -> DataFrame:

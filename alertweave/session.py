@@ -44,12 +44,14 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, and its own only on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="alertweave-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # the setting is fixed once a session runs, so the folder is named to the context and read back from it
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="alertweave-checkpoint-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

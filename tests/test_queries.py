@@ -1,11 +1,13 @@
 """Registered queries against their SQL on the smallest tables. The costly ones have a test of
 their own in the pipeline or are left to ``check_queries.py``."""
 
+import inspect
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
+from alertweave.plans.queries import QUERIES
 from check_queries import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,3 +28,8 @@ def test_query(spark, connection, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_every_query_takes_a_session_and_a_folder(name):
+    assert [p.kind for p in inspect.signature(QUERIES[name]).parameters.values()] == [inspect.Parameter.POSITIONAL_OR_KEYWORD] * 2
