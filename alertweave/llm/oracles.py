@@ -6,7 +6,7 @@ hold those against plain code.
 
 from __future__ import annotations
 
-from alertweave.llm import license_scan, quality_rules
+from alertweave.llm import decontamination, license_scan, quality_rules
 from alertweave.llm.shared import UPPER
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -124,4 +124,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM beyond) AS kept FROM counted"""
 
 
-ORACLES: dict[str, str] = {"op5_quality_rules": _quality(), "op10_license_scan": _licenses()}
+def _decontamination() -> str:
+    word, window = license_scan.WORD, decontamination.WINDOW
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{word}') AS words FROM documents),
+i AS (SELECT item_id, words, least(len(words), {window}) AS width
+  FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{word}') AS words FROM benchmark)),
+windows AS (
+  SELECT DISTINCT item_id, width, array_to_string(words[at:at + width - 1], ' ') AS said
+  FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS at FROM i WHERE width > 0)
+),
+places AS (
+  SELECT doc_id, at, width, array_to_string(words[at:at + width - 1], ' ') AS said
+  FROM (SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS at
+    FROM d, (SELECT DISTINCT width FROM windows) WHERE len(words) >= width)
+),
+found AS (SELECT doc_id, at, p.width, item_id FROM places p JOIN windows w ON w.said = p.said AND w.width = p.width),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + width)) AS place FROM found) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+  string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM found GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN listed l ON l.doc_id = d.doc_id"""
+
+
+ORACLES: dict[str, str] = {"op5_quality_rules": _quality(), "op10_license_scan": _licenses(), "op11_decontamination": _decontamination()}
