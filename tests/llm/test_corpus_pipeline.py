@@ -3,7 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from alertweave.llm import importance, near_duplicates, quality_rules
+from alertweave.llm import importance, quality_rules
+from test_similar_texts import groups_by_pairs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,8 +25,8 @@ def test_stages(spark, tmp_path):
     ids = lambda frame: Counter(r.doc_id for r in frame.select("doc_id").collect())
     assert ids(kept[0]) == ids(quality_rules.quality_rules(given[0], labels).filter("kept"))
     assert ids(kept[1]) == ids(importance.quality_classifier(given[1], labels).filter("kept"))
-    groups = near_duplicates.near_duplicates(given[2])
-    assert ids(kept[2]) == ids(groups.selectExpr("component_id AS doc_id").distinct())
+    rows = [(r.doc_id, r.text) for r in given[2].select("doc_id", "text").collect()]
+    assert sorted(ids(kept[2]).elements(), key=repr) == groups_by_pairs(rows)
     assert set(ids(kept[3])) <= set(ids(given[3])) and max(ids(kept[3]).values()) <= 3
     assert ids(kept[4]) == ids(given[4])
     assert ids(corpus_pipeline.run(spark, FOLDER)) == ids(kept[4])
