@@ -448,6 +448,10 @@ SELECT r.path, r.line_no - 1 AS result_index, row_number() OVER (PARTITION BY r.
     || ',"path":"' || r.path || '","selection":"fixed_window","start_line":' || r.start_line || '}}') AS slice_id
 FROM ranges r JOIN texts t USING (doc_id, start_line, end_line)""",
     "callable_index": f"WITH {_LINES}, {_CODE} SELECT path, start_line, end_line, symbol FROM callables",
+    "source_index_pruned": f"""
+WITH {_LINES}, {_CODE}
+SELECT path, start_line, end_line, symbol FROM callables
+WHERE path IN (SELECT 'docs/' || doc_id || '.txt' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))""",
     "enclosing_callable": f"""
 WITH {_LINES}, {_CODE}
 SELECT path, line_no, c.start_line AS callable_start, c.end_line AS callable_end, c.symbol AS callable_symbol FROM innermost""",
@@ -488,8 +492,10 @@ SELECT sha256('label-' || l.doc_id) AS supplement_sha256, l.doc_id AS result_ind
 FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang IS DISTINCT FROM 'fr' WHERE d.doc_id IS NULL""",
     "closure_labels": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "closure_orders": """
-SELECT o_orderstatus, count(*) AS "references" FROM orders
-WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey) GROUP BY ALL""",
+SELECT 'line' AS side, l_returnflag AS kind, count(*) AS "references" FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1) GROUP BY ALL
+UNION ALL SELECT 'order', o_orderstatus, count(*) FROM orders
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 25) GROUP BY ALL""",
     "dot_lines": """
 WITH n AS (SELECT 0 AS run_index, n_nationkey AS ord, n_name AS name FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region)
 SELECT 1 AS part, run_index, ord, '  "ev_' || sha256(name) || '" [label="' || name || '\\"x\\"\\nev_' || left(sha256(name), 12) || '"];' AS line FROM n
@@ -604,6 +610,32 @@ SELECT coalesce(d.doc_id, l.doc_id) AS result_index, CASE WHEN l.doc_id IS NOT N
        WHEN CASE WHEN d.n_chars > 5000 THEN 'TP' ELSE 'NMC' END <> CASE WHEN l.toxic = 1 THEN 'TP' ELSE 'NMC' END THEN 'label differs'
        WHEN l.quality = 0 AND NOT contains(d.text, ' the ') THEN 'injection text is absent from its slice' END AS reason
 FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id""",
+    "specification_digest": """
+WITH lines AS (SELECT l_orderkey AS project_id, array_agg(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey::VARCHAR) AS steps,
+  list_sort(list_distinct(array_agg(l_returnflag))) AS languages,
+  array_agg(DISTINCT '{"name":"' || l_returnflag || '","version":"' || l_linestatus || '"}') AS packs FROM lineitem GROUP BY 1),
+quoted AS (SELECT *, '["' || array_to_string(languages, '","') || '"]' AS l, '["' || array_to_string(steps, '","') || '"]' AS s,
+  '[' || array_to_string(list_sort(packs), ',') || ']' AS p FROM lines)
+SELECT project_id, sha256('{"languages":' || l || ',"packs":' || p || ',"source":null,"steps":' || s || '}') AS digest FROM quoted""",
+    "chain_append": f"""
+WITH e AS (
+  SELECT l_orderkey AS run_id, l_linenumber - 1 AS sequence,
+    CASE WHEN l_linenumber > 1 THEN CASE WHEN l_tax > 0.07 THEN 'CREATED' ELSE {_STATES}[l_linenumber - 1] END END AS from_state,
+    CASE WHEN l_returnflag = 'R' AND l_linenumber > 4 THEN 'MODEL_FAILED' ELSE {_STATES}[l_linenumber] END AS to_state FROM lineitem
+),
+l AS (SELECT run_id, max(sequence) AS last, arg_max(to_state, (sequence, to_state)) AS state FROM e WHERE sequence <= 2 GROUP BY run_id),
+g AS (SELECT run_id, sequence, count(*) AS copies, min((coalesce(from_state, ''), to_state)) AS event FROM e WHERE sequence >= 2 GROUP BY ALL),
+n AS (SELECT g.run_id, sequence, copies, nullif(event[1], '') AS from_state, event[2] AS to_state, coalesce(sequence <= last, false) AS late
+  FROM g LEFT JOIN l ON l.run_id = g.run_id),
+b AS (SELECT run_id, sequence, to_state FROM n WHERE NOT late UNION ALL SELECT run_id, last, state FROM l),
+f AS (SELECT n.*, CASE WHEN late THEN NULL WHEN copies > 1 THEN 'sequence is repeated' WHEN b.to_state IS NULL THEN 'sequence is not contiguous'
+  WHEN n.from_state IS DISTINCT FROM b.to_state THEN 'state chain is discontinuous'
+  WHEN NOT (b.to_state || '>' || n.to_state IN ({_TRANSITIONS}) OR (n.to_state IN ({_FAILURES}) AND b.to_state NOT IN ({_FAILURES}))) THEN 'invalid transition' END AS own
+  FROM n LEFT JOIN b ON b.run_id = n.run_id AND b.sequence = n.sequence - 1),
+broken AS (SELECT run_id, min(sequence) AS broken_at FROM f WHERE own IS NOT NULL GROUP BY run_id)
+SELECT e.run_id, e.sequence, CASE WHEN late THEN 'sequence is already recorded' WHEN own IS NOT NULL THEN own
+  WHEN e.sequence > broken_at THEN 'an event before it was rejected' END AS fault
+FROM e JOIN f ON f.run_id = e.run_id AND f.sequence = e.sequence LEFT JOIN broken ON broken.run_id = e.run_id""",
     "state_chain": f"""
 WITH e AS (
   SELECT l_orderkey AS run_id, l_linenumber - 1 AS sequence,

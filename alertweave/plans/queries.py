@@ -20,6 +20,7 @@ from alertweave.operators import (
     normalize,
     policy,
     report,
+    specifications,
     triage,
 )
 from alertweave.operators.uri_bases import resolve_declared
@@ -451,6 +452,18 @@ def callable_index(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def source_index_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """Callables of the files that a reference cites, here those of toxic documents; no other is indexed."""
+    files = carriers.code_files(spark, sf)
+    toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
+    cited = (
+        table(spark, sf, "documents")
+        .join(toxic, "doc_id")
+        .select(F.col("source").alias("repository_identity"), carriers.document_path().alias("path"))
+    )
+    return callables.index_callables(context.cited_files(cited, files)).select("path", "start_line", "end_line", "symbol")
+
+
 def enclosing_callable(spark: SparkSession, sf: str) -> DataFrame:
     """Every code line with the smallest callable around it."""
     index = callables.index_callables(carriers.code_files(spark, sf))
@@ -605,11 +618,19 @@ def closure_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def closure_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders that cite a customer number no supplier has, counted per status."""
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("s_suppkey"), "o_orderstatus")
-    missing = evidence.dangling(orders, ["s_suppkey"], table(spark, sf, "supplier"))
-    return missing.groupBy("o_orderstatus").agg(F.count("*").alias("references"))
-
+    """Lines and orders that miss each other, where orders with an even key count as not
+    there: lines whose order is missing by flag, orders without a large line by status."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    key = lambda name: F.col(name).alias("order_key")
+    known = orders.where(F.col("o_orderkey") % 2 == 1).select(key("o_orderkey"))
+    dangling = evidence.dangling(lines.select(key("l_orderkey"), F.col("l_returnflag").alias("kind")), ["order_key"], known)
+    bare = evidence.dangling(
+        orders.select(key("o_orderkey"), F.col("o_orderstatus").alias("kind")),
+        ["order_key"],
+        lines.where("l_quantity >= 25").select(key("l_orderkey")),
+    )
+    sides = dangling.select(F.lit("line").alias("side"), "kind").union(bare.select(F.lit("order").alias("side"), "kind"))
+    return sides.groupBy("side", "kind").agg(F.count("*").alias("references"))
 
 def dot_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Nations and regions as a graph in the export format."""
@@ -1047,6 +1068,15 @@ def state_chain(spark: SparkSession, sf: str) -> DataFrame:
     return audit.chain_faults(_line_events(spark, sf))
 
 
+def chain_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Events from the third line of an order on, appended to runs that stand at that line: what is
+    accepted, already recorded, broken or behind a break."""
+    events = _line_events(spark, sf)
+    last = events.where("sequence <= 2").groupBy("run_id").agg(F.max(F.struct("sequence", "to_state")).alias("end"))
+    judged = audit.chained(events.where("sequence >= 2"), last.select("run_id", "end.*"))
+    return judged.select("run_id", "sequence", "fault")
+
+
 def event_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """Events of each user in time order, numbered without gathering a user."""
     events = table(spark, sf, "events").select("user_id", "ts", "event_id")
@@ -1122,6 +1152,22 @@ def identity_conflict(spark: SparkSession, sf: str) -> DataFrame:
     return audit.identity_conflicts(projects)
 
 
+def specification_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as project specifications: flags and packs in any order, parts in theirs."""
+    lines = table(spark, sf, "lineitem")
+    specs = lines.groupBy(F.col("l_orderkey").alias("project_id")).agg(
+        F.struct(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("step")))), lambda step: step["step"]
+            ).alias("steps"),
+            F.collect_list("l_returnflag").alias("languages"),
+            F.lit(None).cast("string").alias("source"),
+            F.collect_list(F.struct(F.col("l_linestatus").alias("version"), F.col("l_returnflag").alias("name"))).alias("packs"),
+        ).alias("spec")
+    )
+    return specifications.with_digest(specs, "spec", ordered={"steps"}).select("project_id", "digest")
+
+
 def constraints(spark: SparkSession, sf: str) -> DataFrame:
     """Keys, references and row checks over the star tables, with their violations."""
     t = {name: table(spark, sf, name) for name in ("region", "nation", "customer", "supplier", "orders", "lineitem", "labels", "documents")}

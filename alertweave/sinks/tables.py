@@ -1,12 +1,10 @@
-"""Writers: stage tables, text artifacts, checksum inventories, the append-only event log."""
+"""Writers: stage tables, text artifacts, checksum inventories."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.operators.audit import chain_faults
-
 # Stage tables are partitioned by a prefix of the document hash: even, bounded, prunable.
 _BUCKET = "bucket"
 
@@ -89,12 +87,3 @@ def checksum_lines(files: DataFrame) -> DataFrame:
 
 def write_checksums(files: DataFrame, location: str) -> None:
     write_lines(checksum_lines(files), location, ["name"])
-
-
-def append_events(events: DataFrame, existing: DataFrame | None, location: str) -> None:
-    """Appends to the event log after the whole chain, old and new, has been checked."""
-    whole = events if existing is None else existing.unionByName(events)
-    touched = whole.join(events.select("run_id").distinct(), "run_id", "left_semi")
-    if not chain_faults(touched).isEmpty():
-        raise ValueError("events would break the state chain of their run")
-    events.write.mode("append").parquet(location)

@@ -2,6 +2,7 @@
 
 import json
 import tempfile
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from alertweave.sinks.tables import inventory, write_checksums
 from alertweave.sources import inputs
 from alertweave.sources.documents import scan_documents
 from alertweave.sources.source_files import classify_sources, scan_sources, text_sources
-from alertweave.streaming.event_log import append_stream, read_event_stream
+from alertweave.streaming import event_log
+from alertweave.streaming.event_log import append_batch, append_stream, read_event_stream
 
 
 def test_source_classes(spark):
@@ -104,19 +106,58 @@ def event(run, sequence, before, after):
 def test_event_stream_and_chain(spark):
     folder = tempfile.mkdtemp(prefix="alertweave-test-")
     Path(folder, "in").mkdir()
-    events = [
-        event("r1", 0, None, "CREATED"),
-        event("r1", 1, "CREATED", "PROJECT_VALIDATED"),
-        event("r1", 3, "WORKSPACE_READY", "SOURCE_READY"),
-        event("r2", 0, None, "JUDGED"),
-    ]
-    Path(folder, "in", "e.json").write_text("\n".join(json.dumps(e) for e in events))
-    query = append_stream(read_event_stream(spark, f"{folder}/in"), f"{folder}/log", f"{folder}/bad", f"{folder}/cp")
-    query.awaitTermination()
+
+    def run(name, events):
+        Path(folder, "in", name).write_text("\n".join(json.dumps(e) for e in events))
+        append_stream(read_event_stream(spark, f"{folder}/in"), folder, f"{folder}/cp").awaitTermination()
+
+    def rejected():
+        rows = spark.read.parquet(f"{folder}/rejected").collect()
+        return sorted((r.run_id, r.sequence, r.fault) for r in rows)
+
+    run("a.json", [
+        event("r1", 0, None, "CREATED"), event("r1", 1, "CREATED", "PROJECT_VALIDATED"),
+        event("r1", 3, "WORKSPACE_READY", "SOURCE_READY"), event("r2", 0, None, "JUDGED"), event("r3", 0, None, "CREATED"),
+    ])
+    first = [("r1", 3, "sequence is not contiguous"), ("r2", 0, "history must begin at CREATED")]
+    assert rejected() == first
+    run("b.json", [
+        event("r1", 2, "PROJECT_VALIDATED", "WORKSPACE_READY"), event("r1", 1, "CREATED", "PROJECT_VALIDATED"),
+        event("r3", 1, "PROJECT_VALIDATED", "WORKSPACE_READY"), event("r3", 2, "WORKSPACE_READY", "SOURCE_READY"),
+        event("r4", 0, None, "CREATED"), event("r4", 0, None, "CREATED"),
+    ])
+    assert rejected() == sorted(first + [
+        ("r1", 1, "sequence is already recorded"), ("r3", 1, "state chain is discontinuous"),
+        ("r3", 2, "an event before it was rejected"), ("r4", 0, "sequence is repeated"), ("r4", 0, "sequence is repeated"),
+    ])
+    log = spark.read.parquet(f"{folder}/log")
+    assert sorted((r.run_id, r.sequence) for r in log.collect()) == [("r1", 0), ("r1", 1), ("r1", 2), ("r3", 0)]
+    assert audit.chain_faults(log).isEmpty()
+
+
+def test_batches_run_again_and_states_in_full(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(event_log, "FULL_EVERY", 2)
+    from alertweave import fixed_values, schemas
+
+    chain = ["CREATED"]
+    while follow := [b for a, b in fixed_values.TRANSITIONS if a == chain[-1]]:
+        chain.append(follow[0])
+    columns = [field.split()[0] for field in schemas.WORKFLOW_EVENT.split(", ")]
+
+    def frame(rows):
+        rows = [[row.get(c) if c != "occurred_at" else datetime(2024, 1, 1) for c in columns] for row in rows]
+        return spark.createDataFrame(rows, schemas.WORKFLOW_EVENT)
+
+    folder = str(tmp_path)
+    for number in range(5):
+        new = [event("r", number, chain[number - 1] if number else None, chain[number])]
+        new += [event(f"s{number}", 0, None, "CREATED")]
+        for _ in range(2):
+            append_batch(frame(new), folder, number)
+    append_batch(frame([event("s0", 1, "CREATED", "PROJECT_VALIDATED")]), folder, 5)
     log = spark.read.parquet(f"{folder}/log")
-    assert log.count() == 3
-    assert [r.fault for r in spark.read.parquet(f"{folder}/bad").collect()] == ["history must begin at CREATED"]
-    assert [(r.sequence, r.fault) for r in audit.chain_faults(log).collect()] == [(3, "sequence is not contiguous")]
+    assert log.count() == 11 and audit.chain_faults(log).isEmpty()
+    assert spark.read.parquet(f"{folder}/rejected").isEmpty()
 
 
 def test_sliced_ordinal_equals_plain_order(spark):
