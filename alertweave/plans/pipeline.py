@@ -21,6 +21,7 @@ class Options:
     context_policy: str = "path_function_slice"
     window_radius: int = fixed.WINDOW_RADIUS
     token_budget: int = fixed.MAXIMUM_TOKEN_BUDGET
+    callee_bound: int | None = None
     source_root: str | None = None
 
 
@@ -45,7 +46,7 @@ def build_context_tables(
     contexts = stage(
         spark,
         context.build_context(
-            alert_rows, sources, options.context_policy, options.window_radius, options.token_budget
+            alert_rows, sources, options.context_policy, options.window_radius, options.token_budget, options.callee_bound
         ),
         folder,
         "context",

@@ -186,3 +186,25 @@ def test_documents_to_reports(spark, sources):
     lines = [json.loads(row.value) for row in spark.read.text(f"{folder}/report/decisions.jsonl").collect()]
     assert sorted(line["triage"]["final_decision"]["label"] for line in lines) == ["NMC", "NMC"]
     assert all(line["verification"]["status"] == "not_performed" for line in lines)
+
+
+def test_callees_without_and_with_a_bound(spark, tmp_path):
+    names = [f"step{k:02d}" for k in range(11)]
+    calls = "\n".join(f"    {name}(1);" for name in names)
+    helpers = "\n".join(f"  void {name}(int a) {{\n    use(a);\n  }}" for name in names)
+    code = f"class A {{\n  void foo(int x) {{\n{calls}\n    l.lock();\n  }}\n{helpers}\n}}\n"
+    rows = [("r", "s/A.java", code), ("r", "s/B.java", "x\n" * 40), ("r", "s/Never.java", code)]
+    files = text_sources(spark.createDataFrame(rows, "repository_identity string, path string, text string"))
+    texts = [json.dumps(document(ruleId="java/unreleased-lock", relatedLocations=[], codeFlows=[]))]
+
+    def built(bound):
+        options = pipeline.Options(callee_bound=bound)
+        (row,) = pipeline.build_context_tables(spark, raw(spark, texts), files, str(tmp_path / str(bound)), options)["context"].collect()
+        kept = [piece.enclosing_symbol for piece in row.source_slices]
+        return [name for name in kept if name in names], [o.detail for o in row.omitted if o.code == "resource_context_bound"]
+
+    assert built(None) == (names, [])
+    kept, left_out = built(8)
+    assert kept == names[:8] and len(left_out) == 3
+    start = code.splitlines().index("  void step08(int a) {") + 1
+    assert left_out[0] == f"step08, defined in lines {start} to {start + 2}, is over the bound of 8 called definitions"
