@@ -131,16 +131,16 @@ WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{word}') AS words FROM d
 i AS (SELECT item_id, words, least(len(words), {window}) AS width
   FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{word}') AS words FROM benchmark)),
 windows AS (
-  SELECT DISTINCT item_id, width, array_to_string(words[at:at + width - 1], ' ') AS said
-  FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS at FROM i WHERE width > 0)
+  SELECT DISTINCT item_id, width, array_to_string(words[start : start + width - 1], ' ') AS said
+  FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS start FROM i WHERE width > 0)
 ),
 places AS (
-  SELECT doc_id, at, width, array_to_string(words[at:at + width - 1], ' ') AS said
-  FROM (SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS at
+  SELECT doc_id, start, width, array_to_string(words[start : start + width - 1], ' ') AS said
+  FROM (SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS start
     FROM d, (SELECT DISTINCT width FROM windows) WHERE len(words) >= width)
 ),
-found AS (SELECT doc_id, at, p.width, item_id FROM places p JOIN windows w ON w.said = p.said AND w.width = p.width),
-hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + width)) AS place FROM found) GROUP BY doc_id),
+found AS (SELECT doc_id, start, p.width, item_id FROM places p JOIN windows w ON w.said = p.said AND w.width = p.width),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + width)) AS place FROM found) GROUP BY doc_id),
 listed AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
   string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM found GROUP BY doc_id)
 SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
