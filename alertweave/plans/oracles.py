@@ -288,6 +288,65 @@ _EVIDENCE_ID = """'ev_' || sha256('{"alert_fingerprint":"' || sha256(d.text) ||
   || '","summary":"label of document ' || l.doc_id || '","type":"verification"}')"""
 
 
+def _text(value: str) -> str:
+    """A JSON string or null; the values here need no escapes."""
+    return f"""coalesce('"' || ({value}) || '"', 'null')"""
+
+
+def _order_place(path: str, first: str, last: str, artifact: str = "NULL", end_column: str = "NULL") -> str:
+    return f"""'{{"artifact_sha256":' || {_text(artifact)} || ',"column_kind":"unicodeCodePoints","end_column":'
+      || coalesce(({end_column})::VARCHAR, 'null') || ',"end_line":' || {last} || ',"path":"' || {path} || '","snippet":null,"start_column":1,"start_line":' || {first} || '}}'"""
+
+
+def _lifecycle_summary(kind: str) -> str:
+    return next(summary for name, _, summary in fixed.LIFECYCLE_FAMILIES if name == kind).replace("'", "''")
+
+
+# Nodes of an alert per order: part and a, b give their order, id follows from all fields.
+_ORDER_NODES = f"""
+a AS (SELECT o_orderkey AS k, sha256(o_orderkey::VARCHAR) AS doc, sha256('alert ' || o_orderkey) AS fp, sha256('slice ' || o_orderkey) AS sl,
+  o_orderpriority AS rid, 'src/' || o_orderstatus || '.java' AS path, o_custkey % 100 + 1 AS line, o_orderpriority LIKE '1%' AS res,
+  sha256('[{{"run_index":0,"result_index":0,"alert_fingerprint":"' || fp || '","analysis_id":"' || fp || '"}}]') AS norm FROM orders),
+l AS (SELECT l_orderkey AS k, 'src/' || l_linestatus || '.java' AS path, l_returnflag AS flag, l_partkey % 100 + 1 AS low,
+  l_partkey % 100 + 1 + l_quantity::BIGINT AS high, l_suppkey % 150 + 1 AS line FROM lineitem),
+s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path, low, high) - 1 AS ord, 'slice_' || sha256(path || ':' || low || '-' || high) AS id
+  FROM (SELECT DISTINCT k, path, low, high FROM l)),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path, line) - 1 AS ord, count(*) OVER (PARTITION BY k) AS n
+  FROM (SELECT DISTINCT k, path, line FROM l WHERE flag = 'R')),
+g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path, line) - 1 AS ord FROM (SELECT DISTINCT k, path, line FROM l WHERE flag = 'A')),
+points AS (SELECT k, 0 AS part, 0 AS ord, path, line FROM a UNION ALL SELECT k, 1, ord, path, line FROM p UNION ALL SELECT k, 2, ord, path, line FROM g),
+held AS (SELECT points.k, part, points.ord, min(s.ord) AS first, arg_min(id, s.ord) || '-L' || any_value(line) AS first_anchor,
+    arg_max(id, s.ord) || '-L' || any_value(line) AS last_anchor
+  FROM points JOIN s ON s.k = points.k AND s.path = points.path AND line BETWEEN low AND high GROUP BY ALL),
+fields AS (
+  SELECT a.k, 0 AS part, 0 AS a, 0 AS b, NULL AS holder, norm AS artifact, NULL AS excerpt, '{fixed.NORMALIZER_VERSION}' AS extractor,
+    {_order_place("path", "line", "line")} AS place, 'codeql' AS origin, NULL AS pf, 'neutral' AS polarity, last_anchor AS anchor, 'low' AS strength,
+    'What the scanner''s rule ' || rid || ' says of itself.' AS summary, 'rule_semantics' AS type
+  FROM a LEFT JOIN held ON held.k = a.k AND held.part = 0
+  UNION ALL SELECT p.k, 1, p.ord, 0, NULL, norm, NULL, '{fixed.NORMALIZER_VERSION}', {_order_place("p.path", "p.line", "p.line")}, 'codeql',
+    sha256(p.path || ':' || p.line), 'supports_tp', last_anchor, 'medium', 'The scanner''s path ' || p.ord || ' of 1 steps, as recorded.', 'data_flow'
+  FROM p JOIN a ON a.k = p.k LEFT JOIN held ON held.k = p.k AND held.part = 1 AND held.ord = p.ord
+  UNION ALL SELECT s.k, 2, s.ord, 0, NULL, sl, CASE WHEN res THEN CASE WHEN low % 3 = 0 THEN 'return x;' ELSE 'x = 1;' END END,
+    CASE WHEN res THEN 'java-resource-context@1.0' ELSE 'java-context@1.0' END,
+    {_order_place("s.path", "low", "high", "sha256(s.path)")}, 'repository', NULL, 'neutral', id || '-L' || low, 'low',
+    'Source text chosen by fixed_window, quoted as data.', CASE WHEN res THEN 'resource_lifecycle' ELSE 'data_flow' END
+  FROM s JOIN a ON a.k = s.k
+  UNION ALL SELECT s.k, 2, s.ord, b, NULL, sl, 'return x;', 'java-resource-lexical@1.0',
+    {_order_place("s.path", "low", "low", "sha256(s.path)", "10")}, 'repository', NULL, 'neutral', id || '-L' || low, 'low', seen, kind
+  FROM s JOIN a ON a.k = s.k AND res AND low % 3 = 0, (VALUES (1, 'control_flow_exit', '{_lifecycle_summary("control_flow_exit")}'),
+    (2, 'resource_escape', '{_lifecycle_summary("resource_escape")}')) AS words(b, kind, seen)
+  UNION ALL SELECT k, 3, 0, 0, NULL, sl, NULL, 'java-resource-context@1.0', 'null', 'repository', NULL, 'neutral', NULL, 'high',
+    'Left out of the context: file_missing: order ' || k, 'context_gap' FROM a WHERE res
+  UNION ALL SELECT g.k, 4, g.ord, 0, held.first, sl, 'if (x)', 'java-lexical@1.0', {_order_place("g.path", "g.line", "g.line")}, 'repository',
+    NULL, 'neutral', first_anchor, 'low', 'A word pattern of a guard; what it does is open.', 'guard'
+  FROM g JOIN a ON a.k = g.k JOIN held ON held.k = g.k AND held.part = 2 AND held.ord = g.ord),
+nodes AS (SELECT f.*, doc, 'ev_' || sha256('{{"alert_fingerprint":"' || fp || '","artifact_sha256":"' || artifact || '","excerpt":' || {_text("excerpt")}
+  || ',"extractor":"' || extractor || '","location":' || place || ',"origin":"' || origin || '","path_fingerprint":' || {_text("pf")} || ',"polarity":"' || polarity
+  || '","raw_result_reference":{{"raw_sarif_sha256":"' || doc || '","result_index":0,"run_index":0}},"source_anchor":' || {_text("anchor")}
+  || ',"strength":"' || strength || '","summary":"' || summary || '","type":"' || type || '"}}') AS id
+  FROM fields f JOIN a ON a.k = f.k)"""
+
+
 ORACLES: dict[str, str] = {
     "lines_numbered": f"WITH {_LINES} SELECT doc_id, line_no, line FROM lines",
     "source_scan": """
@@ -490,6 +549,23 @@ SELECT l.doc_id AS result_index, {_EVIDENCE_ID} AS evidence_id, 'verification' A
 SELECT sha256('label-' || l.doc_id) AS supplement_sha256, l.doc_id AS result_index, 'POLICY_REJECTED' AS error_code,
   'supplement cites an unavailable occurrence' AS detail
 FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang IS DISTINCT FROM 'fr' WHERE d.doc_id IS NULL""",
+    "evidence_nodes": f"""
+WITH {_ORDER_NODES}
+SELECT doc AS raw_sarif_sha256, row_number() OVER (PARTITION BY k ORDER BY part, a, b) - 1 AS item_ord, id AS evidence_id, type,
+  anchor AS source_anchor, summary FROM nodes""",
+    "evidence_edges": f"""
+WITH {_ORDER_NODES}, rule AS (SELECT k, id FROM nodes WHERE part = 0),
+own AS (SELECT * FROM nodes WHERE part = 2 AND b = 0),
+links AS (
+  SELECT n.k, n.part, n.a, 0 AS b, n.id, rule.id AS target FROM nodes n JOIN rule ON rule.k = n.k WHERE n.part IN (1, 3)
+  UNION ALL SELECT n.k, n.part, n.a, n.b, n.id, own.id FROM nodes n JOIN own ON own.k = n.k AND own.a = n.a WHERE n.part = 2 AND n.b > 0
+  UNION ALL SELECT own.k, 2, own.a, 9, own.id, coalesce(path.id, rule.id)
+    FROM own JOIN rule ON rule.k = own.k JOIN s ON s.k = own.k AND s.ord = own.a
+    LEFT JOIN p ON p.k = own.k AND low % 2 = 0 AND p.ord = low % p.n
+    LEFT JOIN nodes path ON path.k = own.k AND path.part = 1 AND path.a = p.ord
+  UNION ALL SELECT n.k, 4, n.a, 0, n.id, own.id FROM nodes n JOIN own ON own.k = n.k AND own.a = n.holder WHERE n.part = 4)
+SELECT doc AS raw_sarif_sha256, row_number() OVER (PARTITION BY k ORDER BY part, a, b) - 1 AS edge_ord, links.id AS source_evidence_id,
+  'depends_on' AS relation, target AS target_evidence_id FROM links JOIN a USING (k)""",
     "closure_labels": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "closure_orders": """
 SELECT 'line' AS side, l_returnflag AS kind, count(*) AS "references" FROM lineitem

@@ -596,6 +596,103 @@ def evidence_graph(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.graph_counts(evidence.build_graph(_without_columns(alert_rows), built))
 
 
+def _order_evidence(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Alerts and contexts of all orders. An order is an alert; its lines give ranges of text, paths
+    (flag R) and guards (flag A) in the file of their status, so ranges overlap and miss points.
+    Urgent orders are of a resource family and have a gap."""
+    key = F.col("o_orderkey").cast("string")
+    source = F.concat(F.lit("src/"), F.col("l_linestatus"), F.lit(".java"))
+    start = (F.col("l_partkey") % 100 + 1).cast("int")
+    line = (F.col("l_suppkey") % 150 + 1).cast("int")
+    spot = F.struct(source.alias("path"), line.alias("at"))
+    spans = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(
+            F.collect_set(
+                F.struct(source.alias("path"), start.alias("low"), (start + F.col("l_quantity").cast("int")).alias("high"))
+            )
+        ).alias("spans"),
+        F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "R", spot))).alias("starts"),
+        F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "A", spot))).alias("found"),
+    )
+    rows = table(spark, sf, "orders").join(spans, "o_orderkey", "left")
+    for name in ("spans", "starts", "found"):
+        empty = F.array().cast(spans.schema[name].dataType)
+        rows = rows.withColumn(name, F.coalesce(name, empty))
+    no_text = F.lit(None).cast("string")
+
+    def location(path: Column, at: Column) -> Column:
+        return evidence.location_of(path, at, at, no_text)
+
+    occurrence = (E.sha256(key).alias("raw_sarif_sha256"), F.lit(0).alias("run_index"), F.lit(0).alias("result_index"))
+    fingerprint = E.sha256(F.concat(F.lit("alert "), key))
+    alert_rows = rows.select(
+        *occurrence,
+        fingerprint.alias("alert_fingerprint"),
+        fingerprint.alias("analysis_id"),
+        F.struct(F.col("o_orderpriority").alias("rule_id")).alias("rule"),
+        location(
+            F.concat(F.lit("src/"), F.col("o_orderstatus"), F.lit(".java")), (F.col("o_custkey") % 100 + 1).cast("int")
+        ).alias("primary_location"),
+        F.transform(
+            "starts",
+            lambda one, at: E.record(
+                ordinal=at,
+                path_fingerprint=E.sha256(F.concat(one["path"], F.lit(":"), one["at"])),
+                steps=F.array(E.record(location=location(one["path"], one["at"]))),
+            ),
+        ).alias("paths"),
+    )
+
+    def piece(span: Column) -> Column:
+        cited = F.when((F.size("starts") > 0) & (span["low"] % 2 == 0), span["low"] % F.size("starts"))
+        return E.record(
+            artifact_sha256=E.sha256(span["path"]),
+            content=F.when(span["low"] % 3 == 0, "return x;").otherwise("x = 1;"),
+            end_line=span["high"],
+            path=span["path"],
+            references=F.array(E.record(path_ordinal=F.lit(None).cast("int")), E.record(path_ordinal=cited)),
+            selection=F.lit("fixed_window"),
+            slice_id=F.concat(
+                F.lit("slice_"), E.sha256(F.concat(span["path"], F.lit(":"), span["low"], F.lit("-"), span["high"]))
+            ),
+            start_line=span["low"],
+        )
+
+    guards = F.transform(
+        "found",
+        lambda one: E.record(
+            kind=F.lit("guard"),
+            location=location(one["path"], one["at"]),
+            excerpt=F.lit("if (x)"),
+            extractor=F.lit("java-lexical@1.0"),
+        ),
+    )
+    contexts = rows.select(
+        *occurrence,
+        F.when(F.col("o_orderpriority").startswith("1"), "resource_leak").otherwise(fixed.DEFAULT_FAMILY).alias("family"),
+        E.sha256(F.concat(F.lit("slice "), key)).alias("slice_sha256"),
+        F.transform("spans", piece).alias("source_slices"),
+        F.array(E.record(code=F.lit("file_missing"), detail=F.concat(F.lit("order "), key))).alias("omitted"),
+        guards.alias("guards"),
+        F.slice(guards, 1, 0).alias("candidate_sanitizers"),
+        fingerprint.alias("alert_fingerprint"),
+        F.lit("orders").alias("repository_identity"),
+    )
+    return cut_lineage(alert_rows), cut_lineage(contexts)
+
+
+def evidence_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the graphs of all orders, with the anchor the interval join found."""
+    nodes = evidence.evidence_table(evidence.build_graph(*_order_evidence(spark, sf)))
+    return nodes.select("raw_sarif_sha256", "item_ord", "evidence_id", "type", "source_anchor", "summary")
+
+
+def evidence_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Every edge of the graphs of all orders."""
+    edges = evidence.edges_table(evidence.build_graph(*_order_evidence(spark, sf)))
+    return edges.select("raw_sarif_sha256", "edge_ord", "source_evidence_id", "relation", "target_evidence_id")
+
+
 def _without_columns(alert_rows: DataFrame) -> DataFrame:
     """Alerts located by line only, as code lines are not as long as the prose they come from."""
     bare = F.col("primary_location").withField("end_column", F.lit(None).cast("int"))
