@@ -1,19 +1,22 @@
 """License scan: base phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, a template a license notice; both are sets of words. A block meets a
-template if it holds at least ``threshold`` of the template's words. Words are ordered by how often
-they occur in all texts, rarest first. A template of ``n`` words of which ``need`` must be held has
-one of its first ``n - need + 1`` in every block that meets it: only these are joined on (prefix
-filter). A block with fewer than ``need`` words of any template is dropped (length filter), and a
-pair whose first common word leaves too few words on either side too (positional filter). What is
-left is verified. No block that meets a template is lost, whatever the text's length.
-
-Only DataFrame operations are used. The word counts that reach the driver are those of the
-templates' own words, so their number is fixed. Label rows come back to the documents by id and
-text hash, one row for each pair.
+A template is a license notice of ``m`` words, and a block a window of ``REACH * m`` consecutive words
+of a text; line ends and comment signs are no words, so a wrapped notice is in one block, and words far
+apart are not. Both are sets of words. A block meets a template if it holds at least ``threshold`` of the
+template's words. Words are ordered by how often they occur in all texts, rarest first. A template of ``n``
+different words of which ``need`` must be held has one of its first ``n - need + 1`` in every block that
+meets it: only these words, where they stand in a text, are joined on (prefix filter). With such a word as a
+block's rarest, the words around it must hold ``need`` of the template's words from its place in the order on:
+fewer words (length filter) or too many of them rarer (positional filter) drop the pair. What is left is
+verified block by block. No block that meets a template is lost, whatever the text's length.
+
+Only DataFrame operations are used. Long texts are cut into overlapping pieces of ``PIECE`` words, so a row stays
+small. The word counts that reach the driver are those of the templates' own words, so their number is fixed, and
+so is the index that is joined on: a row for each template and prefix word. Label rows come back to the documents
+by id and text hash, one row for each pair.
 
 A null text counts as empty. Repeated rows get equal results; rows with a null id are told apart by
-their text. An empty table gives an empty result.
+their text. An empty table gives an empty result. Other columns are not used.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from alertweave.functions.expressions import let
 from alertweave.llm.shared import UPPER, lower_ascii
 
 THRESHOLD = 0.9
+# words of a block for each word of the template
+REACH = 1.25
+# words of a long text in one row
+PIECE = 4096
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -61,6 +68,11 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(WORD, text.lower())))
 
 
+def block_words(text: str) -> int:
+    """Words of a block for this template."""
+    return math.ceil(REACH * len(re.findall(WORD, text.lower())))
+
+
 def spaced(text: Column) -> Column:
     """The words of a text with a blank on either side of each: cheap to search for whole words."""
     other = "".join(chr(point) for point in range(0x80) if not re.match(WORD, chr(point)) and chr(point) not in UPPER)
@@ -82,73 +94,110 @@ def word_frequencies(documents: DataFrame, vocabulary: list[str]) -> dict[str, i
     return {row["word"]: row["count"] for row in counts}
 
 
-def license_labels(
-    documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
-) -> DataFrame:
-    """``doc_id, text_hash, labels, containment, blocks`` of the texts with a block that meets a template."""
-    spark = documents.sparkSession
-    sets = [(label, template_words(text)) for label, text in templates]
-    vocabulary = sorted({word for _, words in sets for word in words})
-    counts = word_frequencies(documents, vocabulary)
-    order = sorted(vocabulary, key=lambda word: (counts.get(word, 0), word))
-    rank = {word: at for at, word in enumerate(order)}
-    prefixes = []
-    for at, (label, words) in enumerate(sets):
-        ordered = sorted(words, key=rank.__getitem__)
+INDEX = "prefix_word string, template int, label string, need int, reach int, wanted array<string>, later array<string>"
+
+
+def template_index(templates: list[tuple[str, str]], threshold: float, rank: dict[str, int]) -> list[tuple]:
+    """An ``INDEX`` row for each template and word of its prefix: ``later`` holds the template's words from
+    this one on in the order of rarity."""
+    rows = []
+    for at, (label, text) in enumerate(templates):
+        ordered = sorted(template_words(text), key=rank.__getitem__)
         need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
         for position, word in enumerate(ordered[: len(ordered) - need + 1]):
-            prefixes.append((word, at, label, position, need, ordered))
-    index = spark.createDataFrame(
-        prefixes,
-        "prefix_word string, template int, label string, position int, need int, template_words array<string>",
-    )
-    first_words = sorted({entry[0] for entry in prefixes})
-    ranks = F.create_map(*[F.lit(item) for word in order for item in (word, rank[word])])
-    between = F.array(*[F.lit(f" {word} ") for word in first_words])
-    may_match = lambda text: let(spaced(text), lambda words: F.exists(between, lambda word: F.contains(words, word)))
-    lower = lower_ascii(F.col("text"))
-    blocks = (
-        documents.filter(may_match(F.col("text")))
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(lower, r"\n")).alias("block", "line"))
-        .filter(may_match(F.col("line")))
+            rows.append((word, at, label, need, block_words(text), ordered, ordered[position:]))
+    return rows
+
+
+def prefix_hits(documents: DataFrame, vocabulary: list[str], prefix: list[str], widest: int) -> DataFrame:
+    """``doc_id, text_hash, word_no, prefix_word, around``: every place of a prefix word with the
+    ``widest - 1`` words on either side; words of no template are empty there."""
+    edge = widest - 1
+    pad = F.array_repeat(F.lit(""), edge)
+    held = F.array(*[F.lit(f" {word} ") for word in prefix])
+    words = F.filter(F.split(F.col("spaced"), " "), lambda word: word != "")
+    known = F.transform(words, lambda word: F.when(word.isin(vocabulary), word).otherwise(F.lit("")))
+
+    def pieces(padded: Column) -> Column:
+        # n words have n + 2 * edge entries; a piece overlaps its neighbours by an edge on either side
+        starts = F.sequence(F.lit(0), F.floor((F.size(padded) - 2 * edge - 1) / PIECE).cast("int"))
+        return F.transform(
+            starts,
+            lambda at: F.struct((at * PIECE).alias("base"), F.slice(padded, at * PIECE + 1, PIECE + 2 * edge).alias("part")),
+        )
+
+    def hits(base: Column, part: Column) -> Column:
+        places = F.filter(
+            F.sequence(F.lit(1), F.size(part) - 2 * edge), lambda at: F.get(part, at + (edge - 1)).isin(prefix)
+        )
+        return F.transform(
+            places,
+            lambda at: F.struct(
+                (base + at - 1).alias("word_no"),
+                F.get(part, at + (edge - 1)).alias("prefix_word"),
+                F.slice(part, at, 2 * edge + 1).alias("around"),
+            ),
+        )
+
+    return (
+        documents.select("doc_id", "text", spaced(F.col("text")).alias("spaced"))
+        # most texts hold no prefix word and are not cut up
+        .filter(F.exists(held, lambda word: F.contains(F.col("spaced"), word)))
         .select(
             "doc_id",
-            "text_hash",
-            "block",
-            # the block's words that any template has, rarest first
-            let(
-                F.array_distinct(F.filter(F.split("line", BETWEEN), lambda word: word.isin(vocabulary))),
-                lambda words: F.transform(
-                    F.sort_array(
-                        F.transform(
-                            words, lambda word: F.struct(F.element_at(ranks, word).alias("rank"), word.alias("word"))
-                        )
-                    ),
-                    lambda ranked: ranked["word"],
-                ),
-            ).alias("words"),
+            F.xxhash64("text").alias("text_hash"),
+            F.explode(let(F.concat(pad, known, pad), pieces)).alias("piece"),
         )
+        .select("doc_id", "text_hash", F.explode(hits(F.col("piece.base"), F.col("piece.part"))).alias("hit"))
+        .select("doc_id", "text_hash", "hit.*")
     )
-    met = (
-        blocks.select("*", F.posexplode("words").alias("at", "prefix_word"))
-        .join(index, "prefix_word")
-        .filter(F.size("words") >= F.col("need"))
-        .groupBy("doc_id", "text_hash", "block", "template")
-        .agg(
-            F.min_by(F.struct("at", "position", "need", "label", "template_words", "words"), "position").alias("first")
+
+
+def license_labels(
+    documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
+) -> DataFrame:
+    """``doc_id, text_hash, labels, containment, blocks`` of the texts with a block that meets a template.
+    ``blocks`` names, for each template met, its label and the first word (from 0) of the first of its
+    best blocks, which begins with a word of the template."""
+    vocabulary = sorted({word for _, text in templates for word in template_words(text)})
+    counts = word_frequencies(documents, vocabulary)
+    rank = {word: at for at, word in enumerate(sorted(vocabulary, key=lambda word: (counts.get(word, 0), word)))}
+    rows = template_index(templates, threshold, rank)
+    index = documents.sparkSession.createDataFrame(rows, INDEX)
+    prefix = sorted({row[0] for row in rows})
+    widest = max(block_words(text) for _, text in templates)
+    reach, start = F.col("reach"), F.lit(widest) - F.col("reach") + 1
+
+    def verified(near: Column) -> Column:
+        """The most words that a block around the hit holds, and minus the first such block's offset."""
+        blocks = F.filter(
+            F.sequence(F.lit(1), reach), lambda at: F.array_contains(F.col("wanted"), F.get(near, at - 1))
         )
-        .select("doc_id", "text_hash", "block", "first.*")
-        .filter(
-            1 + F.least(F.size("words") - F.col("at") - 1, F.size("template_words") - F.col("position") - 1)
-            >= F.col("need")
+        return F.array_max(
+            F.transform(
+                blocks,
+                lambda at: F.struct(
+                    F.size(F.array_intersect(F.slice(near, at, reach), F.col("wanted"))).alias("held"),
+                    (reach - at - F.col("word_no")).alias("before"),
+                ),
+            )
         )
-        .withColumn("held", F.size(F.array_intersect("words", "template_words")))
-        .filter(F.col("held") >= F.col("need"))
+
+    met = (
+        prefix_hits(documents, vocabulary, prefix, widest)
+        # a fixed number of rows: the templates' prefix words
+        .join(F.broadcast(index), "prefix_word")
+        .withColumn("near", F.slice("around", start, 2 * reach - 1))
+        .filter(F.size(F.array_intersect("near", "later")) >= F.col("need"))
+        .withColumn("best", verified(F.col("near")))
+        .filter(F.col("best.held") >= F.col("need"))
+        .groupBy("doc_id", "text_hash", "template", "label", F.size("wanted").alias("of"))
+        .agg(F.max("best").alias("best"))
     )
     return met.groupBy("doc_id", "text_hash").agg(
         F.collect_set("label").alias("labels"),
-        F.max(F.col("held") / F.size("template_words")).alias("containment"),
-        F.sort_array(F.collect_set(F.struct("block", "label"))).alias("blocks"),
+        F.max(F.col("best.held") / F.col("of")).alias("containment"),
+        F.sort_array(F.collect_list(F.struct((-F.col("best.before")).cast("long").alias("word_no"), "label"))).alias("blocks"),
     )
 
 

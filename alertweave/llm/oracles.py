@@ -32,17 +32,19 @@ base AS (
     string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id
 ),
 templates AS (
-  SELECT number, label, list_distinct(regexp_extract_all(lower(notice), '{word}')) AS wanted
+  SELECT number, label, list_distinct(regexp_extract_all(lower(notice), '{word}')) AS wanted,
+    ceil({license_scan.REACH} * len(regexp_extract_all(lower(notice), '{word}')))::BIGINT AS reach
   FROM (VALUES {templates}) AS t(number, label, notice)
 ),
-blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS said
-  FROM (SELECT doc_id, unnest(string_split(lower_text, chr(10))) AS line FROM d)
+held AS (
+  SELECT doc_id, label, wanted, reach, words FROM d, templates
+  WHERE len(list_intersect(list_distinct(words), wanted)) >= ceil({license_scan.THRESHOLD} * len(wanted) - 1e-9)
 ),
+blocks AS (SELECT doc_id, label, wanted, list_intersect(list_distinct(words[i + 1 : i + reach]), wanted) AS said
+  FROM (SELECT *, unnest(range(len(words))) AS i FROM held)),
 met AS (
-  SELECT doc_id, label, held / len(wanted) AS share
-  FROM (SELECT doc_id, label, wanted, len(list_intersect(said, wanted)) AS held FROM blocks, templates)
-  WHERE held >= ceil({license_scan.THRESHOLD} * len(wanted) - 1e-9)
+  SELECT doc_id, label, len(said) / len(wanted) AS share FROM blocks
+  WHERE len(said) >= ceil({license_scan.THRESHOLD} * len(wanted) - 1e-9)
 ),
 shares AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id),
 named AS (
