@@ -109,13 +109,31 @@ def template_index(templates: list[tuple[str, str]], threshold: float, rank: dic
     return rows
 
 
-def prefix_hits(documents: DataFrame, vocabulary: list[str], prefix: list[str], widest: int) -> DataFrame:
-    """``doc_id, text_hash, word_no, prefix_word, around``: every place of a prefix word with the
-    ``widest - 1`` words on either side; words of no template are empty there."""
+def may_meet(text: Column, rows: list[tuple]) -> Column:
+    """Whether the text as a whole holds a prefix word and ``need`` words of one template, which is so
+    if one of its blocks does. Most texts do not, and are searched but not cut into words."""
+    prefixes: dict[tuple, list[str]] = {}
+    for word, _, _, need, _, wanted, _ in rows:
+        prefixes.setdefault((need, tuple(wanted)), []).append(word)
+    whole = lambda words: F.array(*[F.lit(f" {word} ") for word in words])
+
+    def held(words: Column) -> Column:
+        met = F.lit(False)
+        for (need, wanted), prefix in prefixes.items():
+            some = F.exists(whole(prefix), lambda word: F.contains(words, word))
+            met = met | (some & (F.size(F.filter(whole(wanted), lambda word: F.contains(words, word))) >= need))
+        return met
+
+    return let(spaced(text), held)
+
+
+def prefix_hits(documents: DataFrame, vocabulary: list[str], rows: list[tuple], widest: int) -> DataFrame:
+    """``doc_id, text_hash, word_no, prefix_word, around``: every place of a prefix word, in texts that may
+    meet a template, with the ``widest - 1`` words on either side; words of no template are empty there."""
     edge = widest - 1
     pad = F.array_repeat(F.lit(""), edge)
-    held = F.array(*[F.lit(f" {word} ") for word in prefix])
-    words = F.filter(F.split(F.col("spaced"), " "), lambda word: word != "")
+    prefix = sorted({row[0] for row in rows})
+    words = F.filter(F.split(spaced(F.col("text")), " "), lambda word: word != "")
     known = F.transform(words, lambda word: F.when(word.isin(vocabulary), word).otherwise(F.lit("")))
 
     def pieces(padded: Column) -> Column:
@@ -140,9 +158,7 @@ def prefix_hits(documents: DataFrame, vocabulary: list[str], prefix: list[str],
         )
 
     return (
-        documents.select("doc_id", "text", spaced(F.col("text")).alias("spaced"))
-        # most texts hold no prefix word and are not cut up
-        .filter(F.exists(held, lambda word: F.contains(F.col("spaced"), word)))
+        documents.filter(may_meet(F.col("text"), rows))
         .select(
             "doc_id",
             F.xxhash64("text").alias("text_hash"),
@@ -164,7 +180,6 @@ def license_labels(
     rank = {word: at for at, word in enumerate(sorted(vocabulary, key=lambda word: (counts.get(word, 0), word)))}
     rows = template_index(templates, threshold, rank)
     index = documents.sparkSession.createDataFrame(rows, INDEX)
-    prefix = sorted({row[0] for row in rows})
     widest = max(block_words(text) for _, text in templates)
     reach, start = F.col("reach"), F.lit(widest) - F.col("reach") + 1
 
@@ -184,7 +199,7 @@ def license_labels(
         )
 
     met = (
-        prefix_hits(documents, vocabulary, prefix, widest)
+        prefix_hits(documents, vocabulary, rows, widest)
         # a fixed number of rows: the templates' prefix words
         .join(F.broadcast(index), "prefix_word")
         .withColumn("near", F.slice("around", start, 2 * reach - 1))
