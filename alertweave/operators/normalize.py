@@ -1,8 +1,10 @@
 """Results of gated documents as alerts keyed by their exact occurrence.
 
-Everything one result needs from its run (rules, artifacts, URI bases) is read in the row,
-so normalization itself never shuffles. Only observed file hashes are joined in, and only
-the document-level verdict groups by document, whose results are bounded by the gate.
+Everything one result needs from its run (rules, artifacts, URI bases) is looked up in the
+run's row, before its results become rows of their own: a result then carries its own rule and
+artifacts and not those of its siblings, so the work grows with the document and normalization
+itself never shuffles. Only observed file hashes are joined in, and only the document-level
+verdict groups by document.
 """
 
 from __future__ import annotations
@@ -81,7 +83,8 @@ def analysis_id(raw_sarif_sha256: Column, repository: Column, commit: Column) ->
 
 
 def explode_results(gated: DataFrame) -> DataFrame:
-    """One row per result of every accepted document; equal results stay separate rows."""
+    """One row per result of every accepted document, with what it names in its run; equal results
+    stay separate rows. Adds ``picked`` (rule) and ``located_lists`` (see ``locate_all``)."""
     # Outer explodes: the others add a size filter on their input, which is pushed down to
     # the scan and parses every document once more.
     runs = (
@@ -97,30 +100,69 @@ def explode_results(gated: DataFrame) -> DataFrame:
     )
     # Run-level values are made below the second explode. Made beside it, the optimizer would
     # fold them into the per-location lambdas and walk the base chains once per location.
+    rules = F.coalesce("run.tool.driver.rules", F.array())
     prepared = runs.select(
         "raw_sarif_sha256",
         "repository_identity",
         "commit_sha",
         "run_index",
         F.col("run.columnKind").alias("column_kind"),
-        F.coalesce("run.tool.driver.rules", F.array()).alias("rules"),
+        rules.alias("rules"),
+        order_by_id(rules).alias("rule_order"),
         F.coalesce("run.artifacts", F.array()).alias("artifacts"),
         resolve_declared(F.col("run.originalUriBaseIds")).alias("bases"),
         F.col("run.results").alias("results"),
     )
+    found = F.transform(
+        "results",
+        lambda result: record(
+            result=result,
+            picked=resolve_rule(result, F.col("rules"), F.col("rule_order")),
+            located_lists=locate_all(result, F.col("artifacts"), F.col("bases")),
+        ),
+    )
+    run_level = ("rules", "rule_order", "artifacts", "bases", "results")
     return prepared.select(
-        *[name for name in prepared.columns if name != "results"],
-        F.posexplode_outer("results").alias("result_index", "result"),
-    ).where("result_index is not null")
+        *[name for name in prepared.columns if name not in run_level],
+        F.posexplode_outer(found).alias("result_index", "found"),
+    ).where("result_index is not null").select("*", "found.*").drop("found")
 
 
 # --- rules ----------------------------------------------------------------------------------
 
 
-def resolve_rule(result: Column, rules: Column) -> Column:
-    """``STRUCT<reason, rule>`` from the rule id, the rule index or both."""
+def order_by_id(rules: Column) -> Column:
+    """``ARRAY<STRUCT<id, at>>``: ids in order with their positions, made once per run."""
+    return F.array_sort(F.transform(rules, lambda rule, at: record(id=rule["id"], at=at)))
+
+
+def position_of(wanted: Column, order: Column) -> Column:
+    """Position of the first rule with this id, else null; halves the ordered ids at each step."""
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.shiftright(span["low"] + span["high"], 1)
+        below = F.get(order, middle)["id"] < wanted
+        return F.when(span["low"] >= span["high"], span).otherwise(
+            record(
+                low=F.when(below, middle + 1).otherwise(span["low"]),
+                high=F.when(below, span["high"]).otherwise(middle),
+            )
+        )
+
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.size(order))))
+    return let(
+        F.aggregate(halvings, record(low=F.lit(0), high=F.size(order)), halve),
+        lambda span: let(
+            F.get(order, span["low"]), lambda entry: F.when(entry["id"] == wanted, entry["at"])
+        ),
+    )
+
+
+def resolve_rule(result: Column, rules: Column, order: Column) -> Column:
+    """``STRUCT<reason, rule_id, rule>`` from the rule id, the rule index or both; ``order`` comes
+    from ``order_by_id``."""
     indexed = F.get(rules, result["ruleIndex"])
-    named = F.get(F.filter(rules, lambda rule: rule["id"] == result["ruleId"]), F.lit(0))
+    named = F.get(rules, position_of(result["ruleId"], order))
 
     def pick(pair: Column) -> Column:
         by_index, by_name = pair["indexed"], pair["named"]
@@ -223,45 +265,81 @@ def asserted_sha256(hashes: Column) -> Column:
     return F.lower(F.get(entries, F.lit(0))["value"])
 
 
-def resolve_location(
-    location: Column, related: Column, context: dict[str, Column], source_root: Column | None
-) -> Column:
-    """``STRUCT<code, reason, asserted, location>`` for one raw location."""
+def locate(location: Column, related: Column, artifacts: Column, bases: Column) -> Column:
+    """``STRUCT<physical, indexed, asserted, uri, base>``: what one raw location names in its run.
+
+    A location without a physical one borrows that of the related location with its id; a missing
+    uri or base comes from the artifact it points at.
+    """
     stand_in = F.get(F.filter(related, lambda item: item["id"] == location["id"]), F.lit(0))
-    physical = F.coalesce(location["physicalLocation"], stand_in["physicalLocation"])
 
-    def with_physical(phys: Column) -> Column:
-        declared = phys["artifactLocation"]
-        artifact = F.get(context["artifacts"], declared["index"])
+    def with_artifact(physical: Column) -> Column:
+        declared = physical["artifactLocation"]
         return let(
-            record(
-                declared=declared,
-                artifact=artifact,
-                region=phys["region"],
-                snippet=F.coalesce(phys["region"]["snippet"], phys["contextRegion"]["snippet"]),
-            ),
-            with_artifact,
+            F.get(artifacts, declared["index"]),
+            lambda artifact: with_names(physical, declared, artifact),
         )
 
-    def with_artifact(item: Column) -> Column:
-        declared, artifact = item["declared"], item["artifact"]
-        own = declared["uri"].isNotNull()
-        base_id = F.when(own, declared["uriBaseId"]).otherwise(
+    def with_names(physical: Column, declared: Column, artifact: Column) -> Column:
+        base_id = F.when(declared["uri"].isNotNull(), declared["uriBaseId"]).otherwise(
             F.coalesce(
                 F.nullif(declared["uriBaseId"], F.lit("")), artifact["location"]["uriBaseId"]
             )
         )
-        uri = F.coalesce(declared["uri"], artifact["location"]["uri"])
-        return let(
-            record(
-                child=canonicalize_uri(uri),
-                base=F.when(base_id.isNotNull(), look_up_base(base_id, context["bases"])),
-                uri=uri,
+        return record(
+            physical=physical,
+            indexed=artifact.isNotNull(),
+            asserted=asserted_sha256(artifact["hashes"]),
+            uri=F.coalesce(declared["uri"], artifact["location"]["uri"]),
+            base=F.when(base_id.isNotNull(), look_up_base(base_id, bases)),
+        )
+
+    return let(F.coalesce(location["physicalLocation"], stand_in["physicalLocation"]), with_artifact)
+
+
+def locate_all(result: Column, artifacts: Column, bases: Column) -> Column:
+    """Lists of named locations: primary and additional, related, then one list per thread."""
+    related = F.coalesce(result["relatedLocations"], F.array())
+    threads = F.flatten(
+        F.transform(
+            F.coalesce(result["codeFlows"], F.array()),
+            lambda flow: F.coalesce(flow["threadFlows"], F.array()),
+        )
+    )
+    # all lists in one pass, so the expression of one location is planned once
+    lists = F.concat(
+        F.array(F.coalesce(result["locations"], F.array()), related),
+        F.transform(
+            threads,
+            lambda thread: F.transform(
+                F.coalesce(thread["locations"], F.array()), lambda step: step["location"]
             ),
+        ),
+    )
+    return F.transform(
+        lists,
+        lambda items: F.transform(
+            items, lambda location: locate(location, related, artifacts, bases)
+        ),
+    )
+
+
+def resolve_location(named: Column, column_kind: Column, source_root: Column | None) -> Column:
+    """``STRUCT<code, reason, asserted, location>`` for one location of ``locate``."""
+    physical = named["physical"]
+
+    def with_physical(phys: Column) -> Column:
+        item = {
+            "declared": phys["artifactLocation"],
+            "region": phys["region"],
+            "snippet": F.coalesce(phys["region"]["snippet"], phys["contextRegion"]["snippet"]),
+        }
+        return let(
+            record(child=canonicalize_uri(named["uri"]), base=named["base"]),
             lambda found: with_path(item, found),
         )
 
-    def with_path(item: Column, found: Column) -> Column:
+    def with_path(item: dict[str, Column], found: Column) -> Column:
         base = found["base"]
         joined = F.when(base.isNull(), found["child"]).otherwise(
             join_uri(base["path"], found["child"])
@@ -271,7 +349,7 @@ def resolve_location(
             lambda relative: finish(item, found, relative),
         )
 
-    def finish(item: Column, found: Column, relative: Column) -> Column:
+    def finish(item: dict[str, Column], found: Column, relative: Column) -> Column:
         region, declared = item["region"], item["declared"]
         end_line = F.coalesce(
             region["endLine"], F.when(region["endColumn"].isNotNull(), region["startLine"])
@@ -290,10 +368,10 @@ def resolve_location(
             (region["startLine"].isNull(), "region requires startLine"),
             (out_of_range, "region coordinate is below one"),
             (
-                declared["index"].isNotNull() & item["artifact"].isNull(),
+                declared["index"].isNotNull() & ~named["indexed"],
                 "artifact index is out of range",
             ),
-            (found["uri"].isNull(), "artifactLocation requires uri or a valid index"),
+            (named["uri"].isNull(), "artifactLocation requires uri or a valid index"),
             (found["base"]["reason"].isNotNull(), found["base"]["reason"]),
         )
         unsafe = first_reason((relative["reason"].isNotNull(), relative["reason"]))
@@ -310,10 +388,10 @@ def resolve_location(
             .when(unsafe.isNotNull(), F.lit(_UNSAFE))
             .otherwise(F.lit(_INVALID)),
             reason=F.coalesce(invalid, unsafe, order),
-            asserted=asserted_sha256(item["artifact"]["hashes"]),
+            asserted=named["asserted"],
             location=struct_of(
                 artifact_sha256=F.lit(None).cast("string"),
-                column_kind=context["column_kind"],
+                column_kind=column_kind,
                 end_column=region["endColumn"],
                 end_line=end_line,
                 path=relative["path"],
@@ -361,7 +439,6 @@ def _bad_fingerprints(values: Column, label: str) -> list[tuple[Column, str]]:
 
 def resolve_results(results: DataFrame, source_root: str | None = None) -> DataFrame:
     """Rule, locations and paths of each result, plus the first thing wrong with it."""
-    context = {name: F.col(name) for name in ("artifacts", "bases", "column_kind")}
     root = canonicalize_uri(F.lit(source_root)) if source_root is not None else None
     result = F.col("result")
     related = F.coalesce(result["relatedLocations"], F.array())
@@ -382,17 +459,6 @@ def resolve_results(results: DataFrame, source_root: str | None = None) -> DataF
             ),
         )
     )
-    # One list of location lists: primary and additional, related, then one per thread. They
-    # are resolved in one pass, so the long resolving expression is planned once.
-    located_lists = F.concat(
-        F.array(F.coalesce(result["locations"], F.array()), related),
-        F.transform(
-            "raw_threads",
-            lambda thread: F.transform(
-                F.coalesce(thread["steps"], F.array()), lambda step: step["location"]
-            ),
-        ),
-    )
 
     def thread_steps(thread: Column) -> Column:
         last = F.size(thread["steps"]) - 1
@@ -413,16 +479,14 @@ def resolve_results(results: DataFrame, source_root: str | None = None) -> DataF
         F.transform(related, lambda item: item["id"]), lambda number: number.isNotNull()
     )
     frame = (
-        results.withColumn("picked", resolve_rule(result, F.col("rules")))
-        .withColumn("rule", rule_metadata(F.col("picked.rule_id"), F.col("picked.rule"), result))
+        results.withColumn("rule", rule_metadata(F.col("picked.rule_id"), F.col("picked.rule"), result))
         .withColumn("raw_threads", threads)
-        .withColumn("located_lists", located_lists)
         .withColumn(
             "resolved",
             F.transform(
                 "located_lists",
                 lambda items: F.transform(
-                    items, lambda location: resolve_location(location, related, context, root)
+                    items, lambda named: resolve_location(named, F.col("column_kind"), root)
                 ),
             ),
         )

@@ -146,6 +146,77 @@ def sarif_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sarif_references(spark: SparkSession, folder: str) -> DataFrame:
+    """One SARIF document per source document with a result, a rule and an artifact per line.
+
+    Results name their rules by id, by index and by both, and their places in four ways: by uri, by
+    artifact index, by a related location, and by a related location that has an artifact index.
+    """
+    size = F.size("lines")
+
+    def rule(line: Column, at: Column) -> Column:
+        return record(
+            id=F.format_string("r%d", size - at),
+            name=F.concat(F.lit("n"), at.cast("string")),
+            defaultConfiguration=record(level=F.when(at % 2 == 0, "error").otherwise("warning")),
+        )
+
+    def artifact(line: Column, at: Column) -> Column:
+        return record(location=record(uri=F.format_string("art-%d.txt", at), uriBaseId=F.lit("DOCS")))
+
+    def place(at: Column) -> Column:
+        """The uri, the base and the artifact index, each where the result's way has one."""
+        way, sub = at % 4, F.format_string("sub/%d.txt", at)
+        return record(
+            artifactLocation=record(
+                uri=F.when(way.isin(0, 2), sub),
+                uriBaseId=F.when(way == 0, "DOCS").when(way == 3, "DEEP"),
+                index=F.when(way.isin(1, 3), size - 1 - at),
+            ),
+            region=record(startLine=at + 1),
+        )
+
+    def result(line: Column, at: Column) -> Column:
+        own, chosen = at % 4 < 2, (at * 7) % size
+        return record(
+            ruleId=F.when(at % 3 != 1, F.format_string("r%d", size - chosen)),
+            ruleIndex=F.when(at % 3 != 0, chosen),
+            message=record(text=F.format_string("doc %d", "doc_id")),
+            locations=F.array(record(id=F.lit(5), physicalLocation=F.when(own, place(at)))),
+            relatedLocations=F.when(~own, F.array(record(id=F.lit(5), physicalLocation=place(at)))),
+        )
+
+    body = record(
+        version=F.lit("2.1.0"),
+        runs=F.array(
+            record(
+                columnKind=F.lit("unicodeCodePoints"),
+                tool=record(driver=record(name=F.lit("scanner"), rules=F.transform("lines", rule))),
+                artifacts=F.transform("lines", artifact),
+                originalUriBaseIds=F.create_map(
+                    F.lit("DOCS"), record(uri=F.lit("docs/"), uriBaseId=F.lit(None).cast("string")),
+                    F.lit("DEEP"), record(uri=F.lit("deep/"), uriBaseId=F.lit("DOCS")),
+                ),
+                results=F.transform("lines", result),
+            )
+        ),
+    )
+    return (
+        documents(spark, folder)
+        .select(
+            "doc_id",
+            F.col("source").alias("repository_identity"),
+            F.transform(file_lines(), strip_newline).alias("lines"),
+        )
+        .select(
+            "repository_identity",
+            F.sha1(F.col("doc_id").cast("string")).alias("commit_sha"),
+            F.to_json(body).cast("binary").alias("content"),
+        )
+        .withColumn("raw_sarif_sha256", F.sha2("content", 256))
+    )
+
+
 def first_word(line: Column) -> Column:
     word = F.lower(F.regexp_extract(line, "[A-Za-z]+", 0))
     return F.when(word == "", "w").otherwise(word)

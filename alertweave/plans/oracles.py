@@ -413,6 +413,16 @@ SELECT path, line_no - 1 AS result_index, 0 AS ordinal, CASE WHEN line_no = 1 TH
   CASE WHEN line_no = 1 THEN 'partial' ELSE 'complete' END AS completeness,
   CASE WHEN line_no = 1 THEN 'source' ELSE 'source>sink' END AS kinds,
   greatest(1, line_no - 1) AS source_line, path_fingerprint FROM pathed""",
+    "run_references": f"""
+WITH {_LINES}, r AS (
+  SELECT doc_id, line_no - 1 AS i, n_lines AS n, ((line_no - 1) * 7) % n_lines AS rule FROM lines
+), p AS (
+  SELECT *, CASE i % 4 WHEN 0 THEN 'docs/sub/' || i WHEN 1 THEN 'docs/art-' || (n - 1 - i)
+    WHEN 2 THEN 'sub/' || i ELSE 'docs/deep/art-' || (n - 1 - i) END || '.txt' AS path FROM r
+)
+SELECT 'doc ' || doc_id AS message, i AS result_index, 'r' || (n - rule) AS rule_id, 'n' || rule AS rule_name,
+  CASE WHEN rule % 2 = 0 THEN 'error' ELSE 'warning' END AS level, path, i + 1 AS start_line,
+  CASE WHEN i % 4 > 1 THEN path END AS related_path FROM p""",
     "analysis_ids": f"""
 SELECT doc_id, 'analysis-' || sha256('{{"commit_sha":"' || sha1(doc_id::VARCHAR) || '","normalizer_version":"{fixed.NORMALIZER_VERSION}","raw_sarif_sha256":"'
   || sha256(text) || '","repository_identity":"' || source || '"}}') AS analysis_id FROM documents""",

@@ -200,6 +200,22 @@ def sarif_paths(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def run_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules and places that results name in their run, where a run has as many of each as results."""
+    gated = docs.gate_documents(carriers.sarif_references(spark, sf))
+    rows = normalize.alerts(normalize.normalize(gated))
+    return rows.select(
+        "message",
+        "result_index",
+        F.col("rule.rule_id").alias("rule_id"),
+        F.col("rule.name").alias("rule_name"),
+        "level",
+        F.col("primary_location.path").alias("path"),
+        F.col("primary_location.start_line").alias("start_line"),
+        F.get("related_locations", F.lit(0))["path"].alias("related_path"),
+    )
+
+
 def analysis_ids(spark: SparkSession, sf: str) -> DataFrame:
     commit = F.sha1(F.col("doc_id").cast("string"))
     return table(spark, sf, "documents").select(
@@ -218,7 +234,7 @@ def rule_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "lineitem")
         .withColumn("result", result)
-        .select("l_orderkey", "l_linenumber", normalize.resolve_rule(F.col("result"), rules).alias("picked"))
+        .select("l_orderkey", "l_linenumber", normalize.resolve_rule(F.col("result"), rules, normalize.order_by_id(rules)).alias("picked"))
         .select("l_orderkey", "l_linenumber", "picked.reason", "picked.rule_id", F.col("picked.rule.id").alias("declared"))
     )
 
