@@ -413,6 +413,51 @@ SELECT path, line_no - 1 AS result_index, 0 AS ordinal, CASE WHEN line_no = 1 TH
   CASE WHEN line_no = 1 THEN 'partial' ELSE 'complete' END AS completeness,
   CASE WHEN line_no = 1 THEN 'source' ELSE 'source>sink' END AS kinds,
   greatest(1, line_no - 1) AS source_line, path_fingerprint FROM pathed""",
+    "policy_facts": """
+WITH l AS (SELECT *, (l_linenumber + l_orderkey) % 7 AS slot FROM lineitem), c AS (
+  SELECT l_orderkey, 'c' || l_linenumber AS claim_id,
+    ['source_controllable', 'path_feasible', 'sink_dangerous', 'exploit_succeeds', 'resource_acquisition', 'feasible_unreleased_exit', 'release_coverage'][slot + 1] AS kind,
+    CASE WHEN l_returnflag <> 'R' THEN 'supported' WHEN l_quantity > 48 THEN 'unresolved' ELSE 'rebutted' END AS status,
+    l_suppkey % 4 <> 0 AS analyst, ['e' || l_linenumber, 'e' || (floor(l_quantity)::INT % 9)] AS ids FROM l
+), e AS (
+  SELECT l_orderkey, 'e' || l_linenumber AS evidence_id,
+    CASE slot WHEN 0 THEN 'source_control' WHEN 1 THEN 'data_flow' WHEN 2 THEN 'sink_semantics' WHEN 3 THEN 'verification'
+      WHEN 5 THEN CASE WHEN l_partkey % 5 = 0 THEN 'context_gap' ELSE 'code_slice' END ELSE 'code_slice' END AS type,
+    l_partkey % 3 <> 0 AS for_tp, l_partkey % 4 AS strength FROM l
+), k AS (
+  SELECT c.* FROM c JOIN orders ON o_orderkey = l_orderkey WHERE (o_orderkey + substr(claim_id, 2)::INT) % 4 <> 0
+), cited AS (
+  SELECT x.*, type, for_tp, strength FROM (SELECT l_orderkey, kind, status, analyst, unnest(ids) AS evidence_id FROM k) x JOIN e USING (l_orderkey, evidence_id)
+), considered AS (
+  SELECT l_orderkey, for_tp, strength FROM cited
+  UNION ALL SELECT l_orderkey, for_tp, strength FROM e JOIN orders ON o_orderkey = l_orderkey WHERE evidence_id = 'e' || (o_custkey % 9)
+), by_cited AS (
+  SELECT l_orderkey, coalesce(bool_or(NOT analyst AND status = 'rebutted' AND NOT for_tp AND strength = 3), false) AS rebuttal,
+    coalesce(bool_or(analyst AND status = 'supported' AND kind = 'exploit_succeeds' AND for_tp AND type = 'verification' AND strength = 3), false) AS verified,
+    count(DISTINCT kind) FILTER (analyst AND status = 'supported' AND for_tp AND strength > 0 AND
+      (kind, type) IN (('source_controllable', 'source_control'), ('path_feasible', 'data_flow'), ('sink_dangerous', 'sink_semantics'))) = 3 AS complete
+  FROM cited GROUP BY l_orderkey
+), by_considered AS (
+  SELECT l_orderkey, true AS has_considered, bool_or(for_tp AND strength > 1) AS high_tp, bool_or(NOT for_tp AND strength > 1) AS high_fp FROM considered GROUP BY l_orderkey
+), by_claim AS (
+  SELECT l_orderkey, bool_or(status = 'unresolved') AS has_unresolved,
+    count(DISTINCT kind) FILTER (status = 'supported' AND kind IN ('resource_acquisition', 'feasible_unreleased_exit')) = 2 AS tp_claims,
+    bool_or(kind = 'release_coverage' AND status IN ('supported', 'rebutted')) AS fp_claim FROM k GROUP BY l_orderkey
+), gaps AS (SELECT l_orderkey, bool_or(type = 'context_gap') AS context_gap FROM e GROUP BY l_orderkey), f AS (
+  SELECT o_orderkey AS l_orderkey, o_orderpriority = '1-URGENT' AS unknowns,
+    CASE o_orderstatus WHEN 'O' THEN 'TP' WHEN 'F' THEN 'FP' ELSE 'NMC' END AS requested_label,
+    coalesce(has_unresolved, false) AS has_unresolved, coalesce(has_considered, false) AS has_considered,
+    coalesce(high_tp, false) AS high_tp, coalesce(high_fp, false) AS high_fp, coalesce(rebuttal, false) AS decisive_rebuttal,
+    coalesce(verified OR complete, false) AS tp_supported, coalesce(tp_claims, false) AS tp_claims,
+    coalesce(fp_claim, false) AS fp_claim, coalesce(context_gap, false) AS context_gap
+  FROM orders LEFT JOIN by_cited b ON b.l_orderkey = o_orderkey LEFT JOIN by_considered d ON d.l_orderkey = o_orderkey
+    LEFT JOIN by_claim c ON c.l_orderkey = o_orderkey LEFT JOIN gaps g ON g.l_orderkey = o_orderkey
+)
+SELECT * EXCLUDE (unknowns), CASE
+  WHEN requested_label = 'NMC' OR NOT has_considered OR unknowns OR has_unresolved OR (high_tp AND high_fp) THEN 'NMC'
+  WHEN requested_label = 'TP' AND high_fp THEN 'NMC'
+  WHEN requested_label = 'FP' THEN CASE WHEN decisive_rebuttal THEN 'FP' ELSE 'NMC' END
+  WHEN tp_supported THEN 'TP' ELSE 'NMC' END AS label FROM f""",
     "run_references": f"""
 WITH {_LINES}, r AS (
   SELECT doc_id, line_no - 1 AS i, n_lines AS n, ((line_no - 1) * 7) % n_lines AS rule FROM lines

@@ -19,6 +19,7 @@ from alertweave.operators import (
     experiment,
     normalize,
     policy,
+    policy_facts as fact_tables,
     report,
     specifications,
     triage,
@@ -954,6 +955,46 @@ def policy_resource(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def policy_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of both families and the security label of each order, from claim and evidence rows of its lines."""
+    kinds = [*fixed.TP_CLAIM_TO_EVIDENCE, "exploit_succeeds", *fixed.RESOURCE_TP_CLAIMS, "release_coverage"]
+    types = [*fixed.TP_CLAIM_TO_EVIDENCE.values(), "verification", "code_slice", "context_gap", "code_slice"]
+    line = F.col("l_linenumber")
+
+    def one_of(values: list[str], at: Column) -> Column:
+        return F.get(F.array(*[F.lit(value) for value in values]), at.cast("int"))
+
+    lines = table(spark, sf, "lineitem").withColumn("at", (line + F.col("l_orderkey")) % 7)
+    claims = lines.select(
+        "l_orderkey",
+        F.format_string("c%d", line).alias("claim_id"),
+        one_of(kinds, F.col("at")).alias("kind"),
+        F.when(F.col("l_returnflag") != "R", "supported").when(F.col("l_quantity") > 48, "unresolved").otherwise("rebutted").alias("status"),
+        F.when(F.col("l_suppkey") % 4 == 0, "rebuttal").otherwise("analyst").alias("produced_by"),
+        F.array(F.format_string("e%d", line), F.format_string("e%d", F.col("l_quantity").cast("int") % 9)).alias("evidence_ids"),
+    )
+    evidence_rows = lines.select(
+        "l_orderkey",
+        F.format_string("e%d", line).alias("evidence_id"),
+        F.when((F.col("at") != 5) | (F.col("l_partkey") % 5 == 0), one_of(types, F.col("at"))).otherwise("code_slice").alias("type"),
+        F.when(F.col("l_partkey") % 3 == 0, "supports_fp").otherwise("supports_tp").alias("polarity"),
+        one_of(["weak", "medium", "high", "decisive"], F.col("l_partkey") % 4).alias("strength"),
+    )
+    judged = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        F.when(F.col("o_orderstatus") == "O", "TP").when(F.col("o_orderstatus") == "F", "FP").otherwise("NMC").alias("requested_label"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("has_unknowns"),
+        F.transform(
+            F.filter(F.sequence(F.lit(1), F.lit(7)), lambda number: (F.col("o_orderkey") + number) % 4 != 0),
+            lambda number: F.format_string("c%d", number),
+        ).alias("critical_claim_ids"),
+        F.array(F.format_string("e%d", F.col("o_custkey") % 9)).alias("critical_evidence_ids"),
+    )
+    facts = fact_tables.policy_facts(judged, claims, evidence_rows, ["l_orderkey"])
+    outcome = policy.security_outcome({name: F.col(name) for name in facts.columns})
+    return facts.select("*", outcome["label"].alias("label")).drop("has_unknowns", "critical_claim_ids", "critical_evidence_ids")
+
+
 def profile_gate(spark: SparkSession, sf: str) -> DataFrame:
     projects = table(spark, sf, "customer").select(
         F.col("c_name").alias("project_id"),
