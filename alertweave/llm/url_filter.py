@@ -7,35 +7,39 @@ unigram word probabilities, with word counts taken from the text of all pages; s
 its words, also where its name is new. Path pieces are segmented alike, and numbers stand for their
 number of digits.
 
-Words of the dictionary are the most frequent ones, at most ``DICTIONARY``, and tokens are hashed to
-``1 << TOKEN_BITS`` buckets, so what tasks share has a fixed bound. A host name is segmented once per
-batch. Pages are never grouped by host.
+The dictionary is a table of all words of the pages and never leaves Spark: the distinct pieces of
+urls are cut into their substrings of up to ``LONGEST_WORD`` letters, the words among them are found
+by a join, and a piece is segmented once with just its own words, however many urls hold it. A word
+is a run of letters of any script in lower case, of at most ``LONGEST_WORD`` letters; longer runs are no words, and
+no segment is longer. Tokens are hashed to ``1 << TOKEN_BITS`` buckets, so what the driver gets and tasks share has a
+fixed bound. Odds are whole multiples of ``1 / SCALE``, so their sums agree in every order.
 
 A null url, and one without ``://``, has an empty host and path and is judged by the classes' shares
 alone; so is any url if no rule decides a page (then it is allowed). Repeated rows are judged alike.
-Null pages give no words. An empty table gives an empty result.
+Null pages give no words. A very long url or name costs time and rows in proportion to its length.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.llm.shared import UPPER
-from alertweave.session import cut_lineage
+from alertweave.llm.shared import UPPER, prepare, stored
 
-DICTIONARY = 50_000
 TOKEN_BITS = 16
 SMOOTHING = 1.0
 LONGEST_WORD = 24
+SCALE = 1 << 32
+LETTERS = r"[\p{L}\p{M}]+"
+PIECE = rf"{LETTERS}|[0-9]+"
+# starts of substrings that a task holds at once
+_STARTS_AT_ONCE = 4096
 RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -65,36 +69,19 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return rule, verdict
 
 
-def word_counts(pages: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
-    """The most frequent words in the visible text of all pages: as many bins of like counts, each
-    a sixteenth of a doubling wide, as stay within the size together. So the driver gets the sizes
-    of some hundred bins and at most ``size`` words, however many tasks there are."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """``word, count``: all words in the visible text of all pages."""
     text = F.regexp_replace(F.lower("html"), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"[a-z]+"), 0)).alias("word"))
-    counts = cut_lineage(
-        words.filter(F.length("word") <= LONGEST_WORD)
-        .groupBy("word")
-        .count()
-        .withColumn("bin", F.floor(16 * F.log2("count")))
-    )
-    held, least = 0, None
-    for one in sorted(counts.groupBy("bin").agg(F.count("word").alias("n")).collect(), key=lambda row: -row["bin"]):
-        held += one["n"]
-        if held > size:
-            break
-        least = one["bin"]
-    if least is None:
-        return {}
-    return {row["word"]: row["count"] for row in counts.filter(F.col("bin") >= least).collect()}
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(LETTERS), 0)).alias("word"))
+    return words.filter(F.length("word") <= LONGEST_WORD).groupBy("word").count()
 
 
 class Segmenter:
     """Splits a name of run-together words into the most probable words."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int) -> None:
+        self.total = total or 1
         self.cost = {word: math.log(self.total) - math.log(count) for word, count in counts.items()}
-        self.longest = max(map(len, counts), default=1)
 
     def unknown(self, size: int) -> float:
         """An unseen word gets less than one occurrence, and much less with every letter."""
@@ -104,7 +91,7 @@ class Segmenter:
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             options = []
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - LONGEST_WORD), end):
                 word = name[start:end]
                 cost = self.cost.get(word)
                 options.append((best[start] + (self.unknown(len(word)) if cost is None else cost), start))
@@ -118,101 +105,139 @@ class Segmenter:
         return words[::-1]
 
 
-PIECE = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
-
+def places_of(host: Column, path: Column) -> Column:
+    """``ARRAY<STRUCT<place, piece>>``: the top-level name, and runs of letters or digits of the other
+    host labels and the path, in lower case."""
+    labels = F.split(F.lower(host), r"\.")
+    names = F.array_join(F.slice(labels, F.lit(1), F.size(labels) - 1), ".")
 
-def pieces_of(text: str, segmenter: Segmenter) -> list[str]:
-    out: list[str] = []
-    for piece in PIECE.findall(text.lower()):
-        if piece[0].isascii() and piece.isdigit():
-            out.append(f"#{len(piece)}")
-        else:
-            out += segmenter.split(piece)
-    return out
+    def at(place: str, pieces: Column) -> Column:
+        return F.transform(pieces, lambda piece: F.struct(F.lit(place).alias("place"), piece.alias("piece")))
 
-
-def tokens_of(host: str, path: str, segmenter: Segmenter, known: dict[str, list[str]]) -> list[str]:
-    """Words of host labels, the top-level name and the path, marked by where they stand."""
-    if host not in known:
-        labels = host.split(".")
-        known[host] = [f"host {word}" for label in labels[:-1] for word in pieces_of(label, segmenter)]
-        known[host] += [f"top {labels[-1]}"] if host else []
-    return known[host] + [f"path {word}" for word in pieces_of(path, segmenter)]
+    return F.concat(
+        at("top", F.when(host != "", F.slice(labels, -1, 1)).otherwise(F.array().cast("array<string>"))),
+        at("host", F.regexp_extract_all(names, F.lit(PIECE), 0)),
+        at("path", F.regexp_extract_all(F.lower(path), F.lit(PIECE), 0)),
+    )
 
 
-def bucket(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) >> (32 - TOKEN_BITS)
+def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for key, piece in zip(batch["key"], batch["piece"], strict=True):
+            for first in range(0, len(piece), _STARTS_AT_ONCE):
+                found = {
+                    piece[start : start + size]
+                    for start in range(first, min(first + _STARTS_AT_ONCE, len(piece)))
+                    for size in range(1, min(LONGEST_WORD, len(piece) - start) + 1)
+                }
+                yield pd.DataFrame({"key": key, "word": sorted(found)})
+
+
+def segments(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """``piece, words`` of distinct ``piece`` rows of letters. Each is cut with the words it holds,
+    found by a join; words that very many pieces hold are split by the adaptive skew join."""
+    total = words.agg(F.sum("count")).first()[0] or 0
+    keyed = pieces.select("piece", F.md5(F.col("piece").cast("binary")).alias("key"))
+    held = (
+        keyed.mapInPandas(_substrings, "key string, word string")
+        .join(words, "word")
+        .groupBy("key")
+        .agg(F.collect_list("word").alias("known"), F.collect_list("count").alias("counts"))
+    )
 
+    @F.pandas_udf("array<string>")
+    def split(names: pd.Series, known: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                Segmenter({} if some is None else dict(zip(some, of, strict=True)), total).split(name)
+                for name, some, of in zip(names, known, counts, strict=True)
+            ],
+            dtype="object",
+        )
 
-@dataclass
-class UrlModel:
-    segmenter: Segmenter
-    #: log odds of block against allow: of the classes, and of each token bucket
-    prior: float
-    odds: np.ndarray
+    return keyed.join(held, "key", "left").select("piece", split("piece", "known", "counts").alias("words"))
 
-    def blocks(self, hosts: list[str], paths: list[str]) -> list[float]:
-        known: dict[str, list[str]] = {}
-        return [
-            self.prior + sum(float(self.odds[bucket(token)]) for token in tokens_of(host, path, self.segmenter, known))
-            for host, path in zip(hosts, paths, strict=True)
-        ]
 
+def bucket(token: Column) -> Column:
+    return F.shiftright(F.crc32(token.cast("binary")), 32 - TOKEN_BITS).cast("int")
 
-def fit(decided: DataFrame, segmenter: Segmenter) -> UrlModel:
-    """The model of ``host, path, ruled`` rows that rules decide."""
-    shared = decided.sparkSession.sparkContext.broadcast(segmenter)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros((2, (1 << TOKEN_BITS) + 1), dtype=np.int64)
-        for batch in batches:
-            known: dict[str, list[str]] = {}
-            for host, path, ruled in zip(batch["host"], batch["path"], batch["ruled"], strict=True):
-                tokens = [bucket(token) for token in tokens_of(host, path, shared.value, known)]
-                np.add.at(totals[int(ruled == "block")], [*tokens, 1 << TOKEN_BITS], 1)
-        kind, at = np.nonzero(totals)
-        yield pd.DataFrame({"kind": kind, "bucket": at, "n": totals[kind, at]})
+def fit(parts: DataFrame, urls: DataFrame) -> tuple[int, np.ndarray]:
+    """Log odds of block against allow, of the classes and of each bucket, in parts of ``SCALE``.
 
+    ``parts``: ``ruled, n, buckets`` of what the urls that rules decide hold; ``urls``: ``ruled, n``.
+    """
     counted = (
-        decided.mapInPandas(count, "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+        parts.filter("ruled is not null")
+        .select((F.col("ruled") == "block").cast("int").alias("kind"), F.explode("buckets").alias("bucket"), "n")
+        .groupBy("kind", "bucket")
+        .agg(F.sum("n").alias("n"))
     ).toPandas()
-    totals = np.zeros((2, (1 << TOKEN_BITS) + 1))
-    totals[counted["kind"].to_numpy(dtype=int), counted["bucket"].to_numpy(dtype=int)] = counted["n"].to_numpy()
-    pages, tokens = totals[:, -1], totals[:, :-1]
+    tokens = np.zeros((2, 1 << TOKEN_BITS))
+    tokens[counted["kind"].to_numpy(dtype=int), counted["bucket"].to_numpy(dtype=int)] = counted["n"].to_numpy()
+    of_class = {row["ruled"]: row["n"] for row in urls.filter("ruled is not null").groupBy("ruled").agg(F.sum("n").alias("n")).collect()}
+    if not of_class:
+        return -SCALE, np.zeros(1 << TOKEN_BITS, dtype=np.int64)
     used = max(1, int((tokens.sum(axis=0) > 0).sum()))
     likely = np.log((tokens + SMOOTHING) / (tokens.sum(axis=1, keepdims=True) + SMOOTHING * (used + 1)))
-    if not pages.sum():
-        return UrlModel(segmenter, -1.0, np.zeros(1 << TOKEN_BITS))
-    prior = math.log(pages[1] + SMOOTHING) - math.log(pages[0] + SMOOTHING)
-    return UrlModel(segmenter, prior, likely[1] - likely[0])
+    prior = math.log(of_class.get("block", 0) + SMOOTHING) - math.log(of_class.get("allow", 0) + SMOOTHING)
+    return round(prior * SCALE), np.rint((likely[1] - likely[0]) * SCALE).astype(np.int64)
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, block_odds`` for every page; odds only without a rule."""
+    spark = pages.sparkSession
+    prepare(spark)
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     placed = (
         pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
         .withColumn("rule", rule)
         .withColumn("ruled", ruled)
     )
-    segmenter = Segmenter(word_counts(pages))
-    model = fit(placed.filter(F.col("ruled").isNotNull()).select("host", "path", "ruled"), segmenter)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-
-    def odds(hosts: pd.Series, paths: pd.Series, open_: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(hosts), dtype="float64")
-        todo = np.flatnonzero(open_.to_numpy(dtype=bool))
-        out.iloc[todo] = shared.value.blocks(hosts.iloc[todo].tolist(), paths.iloc[todo].tolist())
-        return out
-
-    judged = placed.withColumn(
-        "block_odds", F.pandas_udf(odds, "double")(F.col("host"), F.col("path"), F.col("ruled").isNull())
+    # a host holds no slash and a path starts with one or is empty, so both together name the url
+    url = F.md5(F.concat("host", "path").cast("binary"))
+    urls = stored(placed.groupBy("host", "path", "ruled").agg(F.count(F.lit(1)).alias("n")), "op6-urls")
+    held = urls.select(
+        url.alias("url_key"), "ruled", "n", F.inline(places_of(F.col("host"), F.col("path")))
+    )
+    pieces = stored(held.groupBy("place", "piece", "ruled").agg(F.sum("n").alias("n")), "op6-pieces")
+    digits = F.col("piece").rlike("^[0-9]+$")
+    letters = pieces.filter((F.col("place") != "top") & ~digits).select("piece").distinct()
+    cut = segments(letters, stored(word_counts(pages), "op6-words"))
+    words = (
+        F.when(F.col("place") == "top", F.array("piece"))
+        .when(digits, F.array(F.concat(F.lit("#"), F.length("piece"))))
+        .otherwise(F.col("words"))
+    )
+    tokens = F.transform(words, lambda word: bucket(F.concat("place", F.lit(" "), word)))
+    parts = stored(
+        pieces.join(cut, "piece", "left").select("place", "piece", "ruled", "n", tokens.alias("buckets")), "op6-parts"
+    )
+    prior, odds = fit(parts, urls)
+    shared = spark.sparkContext.broadcast(odds)
+
+    @F.pandas_udf("long")
+    def odds_of(buckets: pd.Series) -> pd.Series:
+        return pd.Series([int(shared.value[at].sum()) for at in buckets], dtype="int64")
+
+    open_parts = parts.filter("ruled is null").select("place", "piece", odds_of("buckets").alias("odds"))
+    judged = (
+        held.filter("ruled is null")
+        .join(open_parts, ["place", "piece"])
+        .groupBy("url_key")
+        .agg(F.sum("odds").alias("odds"))
     )
-    return judged.select(
-        "page_id",
-        "host",
-        "path",
-        "rule",
-        F.coalesce("ruled", F.when(F.col("block_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        F.when(F.col("ruled").isNull(), F.col("block_odds")).alias("block_odds"),
+    block_odds = F.when(F.col("ruled").isNull(), (F.coalesce("odds", F.lit(0)) + F.lit(prior)) / F.lit(float(SCALE)))
+    return (
+        placed.withColumn("url_key", url)
+        .join(judged, "url_key", "left")
+        .withColumn("block_odds", block_odds)
+        .select(
+            "page_id",
+            "host",
+            "path",
+            "rule",
+            F.coalesce("ruled", F.when(F.col("block_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+            "block_odds",
+        )
     )
