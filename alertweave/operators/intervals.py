@@ -3,6 +3,9 @@
 A range is put into each bin it touches and a line into its own, so they meet in an equal-key join
 and a residual comparison. Lines are made distinct first: a bin of ``width`` lines then yields at
 most ``width`` pairs for each range in it, however many points share a line.
+
+Where points and ranges lie in the same row, ``covers_of_rows`` finds the same without moving anything
+that is already dealt by (some of) the row's keys.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIN_LINES = 64
+_RANGE = "struct<range_ord:int,low:int,high:int>"
 
 
 def bin_of(line: Column, width: int) -> Column:
@@ -41,3 +45,88 @@ def outermost_covers(points: DataFrame, ranges: DataFrame, keys: list[str], widt
         .drop("line_bin")
     )
     return points.join(covers, [*keys, "at"], "left")
+
+
+def covers_of_rows(rows: DataFrame, keys: list[str], points: Column, ranges: Column, width: int = BIN_LINES) -> DataFrame:
+    """``rows`` with ``covers``: per element of ``points`` (structs ``part, ord, path, at``) the
+    ``first_cover`` and ``last_cover`` among ``ranges`` (structs ``range_ord, path, low, high``) of the same
+    row and path, ordered by ``part`` and ``ord``; null rules are those of ``outermost_covers``.
+
+    ``keys`` tell rows apart and ``points`` has an element in every row. Points and ranges of a row meet by
+    equal path and line bin in two groupings by keys that begin with ``keys``, so rows that are dealt by
+    those keys, or some of them, stay where they are. The row itself travels with its first point.
+    """
+    own = [name for name in rows.columns if name not in keys]
+    no_point, no_range = F.lit(None).cast("struct<part:int,ord:int,at:int>"), F.lit(None).cast(_RANGE)
+
+    def of_point(point: Column) -> Column:
+        return F.struct(
+            point["path"].alias("path"),
+            bin_of(point["at"], width).alias("line_bin"),
+            F.struct(point["part"].alias("part"), point["ord"].alias("ord"), point["at"].alias("at")).alias("point"),
+            no_range.alias("range"),
+        )
+
+    def of_range(span: Column) -> Column:
+        bins = F.sequence(bin_of(span["low"], width), bin_of(span["high"], width))
+        return F.transform(
+            bins,
+            lambda line_bin: F.struct(
+                span["path"].alias("path"),
+                line_bin.alias("line_bin"),
+                no_point.alias("point"),
+                F.struct(span["range_ord"].alias("range_ord"), span["low"].alias("low"), span["high"].alias("high"))
+                .cast(_RANGE)
+                .alias("range"),
+            ),
+        )
+
+    held = F.filter(ranges, lambda span: span["path"].isNotNull() & (span["low"] <= span["high"]))
+    entries = F.concat(F.transform(points, of_point), F.flatten(F.transform(held, of_range)))
+    exploded = rows.select(*keys, F.struct(*own).alias("row"), F.posexplode(entries).alias("entry_ord", "entry")).select(
+        *keys, F.when(F.col("entry_ord") == 0, F.col("row")).alias("row"), "entry.*"
+    )
+    in_bin = exploded.groupBy(*keys, "path", "line_bin").agg(
+        F.first("row", ignorenulls=True).alias("row"),
+        F.collect_list("point").alias("points"),
+        F.array_sort(F.collect_list("range")).alias("ranges"),
+    )
+    # each line of the bin once, however many points share it
+    lines = F.transform(
+        F.array_distinct(F.transform("points", lambda point: point["at"])),
+        lambda at: F.struct(
+            at.alias("at"), F.filter("ranges", lambda span: at.between(span["low"], span["high"])).alias("held")
+        ),
+    )
+    outer = F.transform(
+        lines,
+        lambda line: F.struct(
+            line["at"].alias("at"),
+            F.get(line["held"], F.lit(0))["range_ord"].alias("first_cover"),
+            F.get(line["held"], F.size(line["held"]) - 1)["range_ord"].alias("last_cover"),
+        ),
+    )
+    found = F.transform(
+        "points",
+        lambda point: F.struct(
+            point["part"].alias("part"),
+            point["ord"].alias("ord"),
+            F.get(F.filter("outer", lambda line: line["at"] == point["at"]), F.lit(0)).alias("line"),
+        ),
+    )
+    covers = F.transform(
+        found,
+        lambda one: F.struct(
+            one["part"].alias("part"),
+            one["ord"].alias("ord"),
+            one["line"]["first_cover"].alias("first_cover"),
+            one["line"]["last_cover"].alias("last_cover"),
+        ),
+    )
+    return (
+        in_bin.withColumn("outer", outer)
+        .select(*keys, "row", covers.alias("covers"))
+        .groupBy(*keys)
+        .agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.flatten(F.collect_list("covers"))).alias("covers"))
+        .select(*keys, "row.*", "covers")
+    )

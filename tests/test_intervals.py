@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from alertweave.operators.intervals import outermost_covers
+from alertweave.operators.intervals import covers_of_rows, outermost_covers
 from alertweave.plans import queries
 
 POINTS = "doc string, path string, at int, note int"
@@ -67,3 +67,49 @@ def test_no_slice_is_searched_for_a_node(spark):
     alert_rows, contexts = queries._order_evidence(spark, "/root/testdata/sf0.001")
     plan = queries.evidence.build_graph(alert_rows, contexts)._jdf.queryExecution().optimizedPlan().toString()
     assert "line_bin" in plan and "array_min(" not in plan and "reverse(" not in plan
+
+
+def test_covers_of_rows_against_the_join(spark):
+    """The same covers where points and ranges lie in a row, with nulls, reversed ranges and a hot line."""
+    dice = random.Random(9)
+    rows = []
+    for doc in range(30):
+        points = [(n % 3, n, dice.choice(["x", "y", None]), dice.choice([5, None, dice.randint(-20, 300)])) for n in range(dice.randint(1, 40))]
+        ranges = []
+        for n in range(dice.randint(0, 30)):
+            low = dice.choice([None, dice.randint(-20, 280), dice.randint(-20, 280)])
+            ranges.append((n, dice.choice(["x", "y", None]), low, dice.choice([None, 10, 90, 400, 64])))
+        rows.append((doc, "kept", points, ranges))
+    frame = spark.createDataFrame(
+        rows,
+        "doc int, other string, points array<struct<part:int,ord:int,path:string,at:int>>,"
+        "ranges array<struct<range_ord:int,path:string,low:int,high:int>>",
+    )
+    for width in (1, 64):
+        got = covers_of_rows(frame, ["doc"], F.col("points"), F.col("ranges"), width).collect()
+        assert {r.doc for r in got} == set(range(30)) and {r.other for r in got} == {"kept"}
+        for row in got:
+            want = []
+            for part, ord_, path, at in rows[row.doc][2]:
+                held = [
+                    r[0] for r in rows[row.doc][3]
+                    if None not in (path, at, r[2], r[3]) and r[1] == path and r[2] <= at <= r[3]
+                ]
+                want.append((part, ord_, min(held, default=None), max(held, default=None)))
+            assert [tuple(c) for c in row.covers] == sorted(want, key=lambda one: one[:2])
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables here")
+@pytest.mark.parametrize("query", ["evidence_nodes", "evidence_edges"])
+def test_only_narrow_rows_are_dealt_for_the_graph(spark, query):
+    """Lines, orders and the digests' rows are dealt once each, by document; what is derived from them is not,
+    and no stage is kept on disk."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 3 and all("hashpartitioning(raw_sarif_sha256#" in line for line in dealt)
+    assert "Scan ExistingRDD" not in plan
