@@ -608,8 +608,11 @@ def observe_hashes(resolved: DataFrame, source_files: DataFrame) -> DataFrame:
     found = F.when(
         F.col("artifact_sha256").isNotNull(), F.struct("path", "artifact_sha256")
     )
+    # dealt by document, as the verdict on a document needs its alerts together next; its rows repeat much
+    # of its bytes and are compressed best where they lie together
     return (
         spread.join(files, ["repository_identity", "path"], "left")
+        .repartition("raw_sarif_sha256")
         .groupBy(*OCCURRENCE)
         .agg(
             F.first("data", ignorenulls=True).alias("data"),
