@@ -5,7 +5,9 @@ A fingerprint has a bit set where over half the shingle hashes have it. Two fing
 within the radius, their first segments differ in at most ``radius // 2`` bits or their second ones
 in at most ``(radius + 1) // 2 - 1``. So each fingerprint is entered in one table per segment, each
 one enumerates the small Hamming ball around its own segment, fetches the entries there, and the
-whole distance is checked inside the join: only true links come out, each of them once.
+whole distance is checked inside the join: only true links come out, each of them once. Of two
+segments that differ, one has the lowest differing bit set, and only that one asks for the other:
+half the ball is enough, and half as many probes move.
 
 Only distinct fingerprints are linked, so exact copies cost nothing beyond a minimum per
 fingerprint. Components come from rounds of hooking and shortcutting in which every step is a join
@@ -73,42 +75,51 @@ def segments(print_: Column) -> tuple[Column, Column]:
 
 
 def ball(segment: Column, radius: int) -> Column:
-    """All segment values within the radius of this one."""
+    """Of all segment values within the radius, this one and those that lack the lowest bit that differs."""
     masks = [sum(1 << bit for bit in bits) for r in range(radius + 1) for bits in combinations(range(SEGMENT_BITS), r)]
-    return F.transform(F.array(*[F.lit(mask).cast("long") for mask in masks]), lambda mask: mask.bitwiseXOR(segment))
+    lowest = lambda mask: mask.bitwiseAND(F.negate(mask))
+    asked = F.filter(
+        F.array(*[F.lit(mask).cast("long") for mask in masks]),
+        lambda mask: lowest(mask).bitwiseAND(segment) == lowest(mask),
+    )
+    return F.transform(asked, lambda mask: mask.bitwiseXOR(segment))
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct ``print`` values to links ``low < high`` within the radius."""
-    first, second = segments(F.col("print"))
     near_first, near_second = radius // 2, (radius + 1) // 2 - 1
     own, other = F.col("own"), F.col("other")
     apart = F.bit_count(own.bitwiseXOR(other))
 
-    def found(segment: Column, near: int, beyond: Column | None) -> DataFrame:
+    def found(at: int, near: int, beyond: Column | None) -> DataFrame:
+        segment_of = lambda print_: segments(print_)[at]
+        segment = segment_of(F.col("print"))
         probes = prints.select(F.col("print").alias("own"), F.explode(ball(segment, near)).alias("probe"))
         entries = prints.select(F.col("print").alias("other"), segment.alias("entry"))
-        on = (F.col("probe") == F.col("entry")) & (own < other) & (apart <= radius)
+        # equal segments ask for each other, others only one way
+        once = (own < other) | (segment_of(own) != segment_of(other))
+        on = (F.col("probe") == F.col("entry")) & once & (apart <= radius)
         return probes.join(entries, on if beyond is None else on & beyond).select(
-            own.alias("low"), other.alias("high")
+            F.least(own, other).alias("low"), F.greatest(own, other).alias("high")
         )
 
-    by_first = found(first, near_first, None)
+    by_first = found(0, near_first, None)
     if near_second < 0:
         return by_first
     own_first, _ = segments(own)
     other_first, _ = segments(other)
     # those with near first segments are known already
-    return by_first.union(found(second, near_second, F.bit_count(own_first.bitwiseXOR(other_first)) > near_first))
+    return by_first.union(found(1, near_second, F.bit_count(own_first.bitwiseXOR(other_first)) > near_first))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``low, high`` edges to ``node, root`` with the smallest node of each component as root."""
-    both = cut_lineage(
-        edges.select(F.col("low").alias("node"), F.col("high").alias("peer")).union(
-            edges.select(F.col("high").alias("node"), F.col("low").alias("peer"))
-        )
+    # the edges are made once, and each goes both ways where it lies
+    ways = F.array(
+        F.struct(F.col("low").alias("node"), F.col("high").alias("peer")),
+        F.struct(F.col("high").alias("node"), F.col("low").alias("peer")),
     )
+    both = cut_lineage(edges.select(F.explode(ways).alias("way")).select("way.*"))
     parents = cut_lineage(both.groupBy("node").agg(F.least(F.col("node"), F.min("peer")).alias("root")))
     before = None
     while True:

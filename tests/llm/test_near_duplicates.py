@@ -80,3 +80,31 @@ def test_one_of_each_stays(documents, no_documents):
     want = sorted({(component,) for _, _, component in groups}, key=repr)
     assert sorted([(r.doc_id,) for r in kept.collect()], key=repr) == want
     assert nd.one_of_each(no_documents).count() == 0
+
+
+def test_probes_are_half_the_ball(spark):
+    rng = random.Random(3)
+    values = [0, 1, (1 << 32) - 1, *(rng.getrandbits(32) for _ in range(50))]
+    frame = spark.createDataFrame([(v,) for v in values], "v bigint")
+    for radius in (0, 1, 2):
+        for r in frame.select("v", nd.ball(frame["v"], radius).alias("probes")).collect():
+            lacks = lambda x, v=r.v: x == v or v & ((x ^ v) & -(x ^ v))
+            assert r.probes[0] == r.v and len(set(r.probes)) == len(r.probes)
+            assert all(lacks(x) and (x ^ r.v).bit_count() <= radius for x in r.probes)
+        if radius == 1:
+            assert sum(len(r.probes) for r in frame.select(nd.ball(frame["v"], 1).alias("probes")).collect()) == sum(
+                1 + v.bit_count() for v in values
+            )
+
+
+def test_edges_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "low bigint, high bigint").mapInArrow(count, "low bigint, high bigint")
+    assert {r.node: r.root for r in nd.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7}
+    assert made.value == 3
