@@ -23,6 +23,7 @@ Repeated rows are kept, in a fixed order. An empty table gives an empty store an
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,7 +40,8 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 64
 CACHE_PIECES = 1_000_000
-TEXTS_AT_ONCE = 4000
+TEXTS_AT_ONCE = 500
+PIECES_AT_ONCE = 500
 LEAST_LIMIT = 16
 
 # ids of rows without one are 0, with a mark: arrays and columns with nulls would turn to doubles
@@ -60,6 +62,8 @@ class PieceTokenizer:
     text, or these tokens with ``added_tokens``, which is the tokenizer's own way."""
 
     def __init__(self, path: str, added_tokens: bool = False) -> None:
+        # a task has one core; threads of the library would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
@@ -90,8 +94,7 @@ class PieceTokenizer:
     def learn(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of pieces; a piece begins with its line end, or else with a blank not written."""
         found: dict[str, bytes] = {}
-        step = 2000
-        groups = [missing[at : at + step] for at in range(0, len(missing), step)]
+        groups = [missing[at : at + PIECES_AT_ONCE] for at in range(0, len(missing), PIECES_AT_ONCE)]
         joined = ["".join(piece if piece[0] == "\n" else " " + piece for piece in group) for group in groups]
         for group, ids in zip(groups, self.whole(joined), strict=True):
             starts = np.flatnonzero(self.begins[ids])
@@ -124,15 +127,15 @@ class PieceTokenizer:
         parts = {at: ("\n" + texts[at]).replace("\n", " \n").split(" ")[1:] for at in cut}
         known = self.pieces
         missing = set().union(*parts.values()).difference(known)
+        full = len(known) + len(missing) > CACHE_PIECES
         if missing:
-            found = self.learn(sorted(missing))
-            if len(known) + len(found) <= CACHE_PIECES:
-                known.update(found)
-            else:
-                known = known | found
+            known.update(self.learn(list(missing)))
         look_up, width = known.__getitem__, self.kind.itemsize
         for at, pieces in parts.items():
             out[at] = b"".join(map(look_up, pieces))[width:]
+        if full:
+            for piece in missing:
+                del known[piece]
         return out
 
 
@@ -287,14 +290,11 @@ def id_counts(coded: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids = ids_of(row.ids, row.n_tokens)
-                if ids.itemsize == 2 and len(ids) < 1 << 12:
-                    np.add.at(total, ids, 1)
-                else:
-                    more = np.bincount(ids, minlength=len(total))
-                    more[: len(total)] += total
-                    total = more
+            if len(batch):
+                ids = np.concatenate(list(map(ids_of, batch["ids"], batch["n_tokens"])))
+                more = np.bincount(ids, minlength=len(total))
+                more[: len(total)] += total
+                total = more
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 

@@ -1,4 +1,5 @@
 import heapq
+import os
 import random
 import zlib
 
@@ -29,6 +30,24 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert got == plain_ids(texts)
 
 
+def test_a_full_cache_stays_as_it_is(monkeypatch):
+    monkeypatch.setattr(ts, "CACHE_PIECES", 40)
+    coder = ts.PieceTokenizer(PATH)
+    texts = [" ".join(f"w{k}x{j}" for j in range(10)) + "\nnext line" for k in range(30)]
+    held = coder.pieces
+    for at in range(0, len(texts), 3):
+        got = [np.frombuffer(raw, dtype=coder.kind).tolist() for raw in coder.encode(texts[at : at + 3])]
+        assert got == plain_ids(texts[at : at + 3])
+        # missing pieces do not cause a copy and do not stay
+        assert coder.pieces is held and 0 < len(held) <= 40
+
+
+def test_tokenizer_runs_on_the_core_of_its_task(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    ts.PieceTokenizer(PATH)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 @pytest.mark.parametrize("limit", [6, 16, 40])
 def test_code_lengths_are_optimal_within_the_limit(limit):
     rng = np.random.default_rng(limit)
