@@ -53,7 +53,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -13,9 +13,11 @@ grow with the set (``FINE`` bits a shingle, folded to the smaller one's length).
 verified on the whole sets. No link is lost.
 
 Shingles that the very same nodes have in their prefixes say the same, and one of them stays. Only
-components are wanted, so nodes that share a prefix shingle are first held against a leader of
+components are wanted, so SimHash comes first: nodes with near fingerprints are found by multi-index hashing
+(``near_duplicates``) and verified like all others. Nodes that share a prefix shingle are then held against a leader of
 theirs, the one they share most with, in ``ROUNDS`` rounds of at most a pair per node. All pairs are
-then formed only between nodes of different components, and the signature filter is part of that join.
+at last formed only between nodes of different components; both signature filters are part of that join, so that
+only pairs that are to be verified come out of it.
 
 Texts are hashed where they lie and never move to be compared. Bitmaps of fixed size tell the workers
 which prefix shingles more than one node has (``COMMON_BITS``), and which nodes are in a pair that is to be
@@ -40,6 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertweave.llm import near_duplicates
 from alertweave.llm.near_duplicates import components, first_of_each
 from alertweave.llm.shared import prepare, stored
 from alertweave.session import cut_lineage
@@ -50,7 +53,7 @@ BUCKETS = 1 << 18
 # the fullest buckets, whose counts reach the driver; the others count as equally rare
 FULLEST = 1 << 14
 # rounds in which nodes are held against leaders
-ROUNDS = 3
+ROUNDS = 2
 # 64-bit words of a signature, and bits per shingle of a fine one
 SIGNATURE = 16
 FINE = 4
@@ -133,27 +136,28 @@ def fine_words(size: int) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, print, size``, the words of the signature and the ``fine`` one, a row per document."""
+    """``doc_id, text_hash, print, size, simhash``, the words of the signature and the ``fine`` one, a row per document."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                (set_key(one), len(one), signature(one), signature(one, fine_words(len(one))))
+                (set_key(one), len(one), near_duplicates.majority(one), signature(one), signature(one, fine_words(len(one))))
                 for one in sets_of(batch.column(2))
             ]
-            keys, sizes, signs, fine = zip(*found, strict=True) if found else ((), (), (), ())
+            keys, sizes, near, signs, fine = zip(*found, strict=True) if found else ((), (), (), (), ())
             words = np.array(signs, dtype=np.int64).reshape(-1, SIGNATURE)
-            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
+            columns = [pa.array(values, pa.int64()) for values in (keys, sizes, near)]
             columns += [pa.array(words[:, k]) for k in range(SIGNATURE)]
             columns.append(pa.array(fine, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "print", "size", *SIGNS, "fine"]
+                [batch.column(0), batch.column(1), *columns],
+                ["doc_id", "text_hash", "print", "size", "simhash", *SIGNS, "fine"],
             )
 
     signs = ", ".join(f"{name} bigint" for name in SIGNS) + ", fine array<bigint>"
     return documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        read, f"doc_id {kind}, text_hash bigint, print bigint, size bigint, {signs}"
+        read, f"doc_id {kind}, text_hash bigint, print bigint, size bigint, simhash bigint, {signs}"
     )
 
 
@@ -260,8 +264,8 @@ def may_link(own: str, other: str) -> Column:
     )
 
 
-def finely_alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs ``low, high, ...`` whose fine signatures leave room for a link."""
+def may_link_finely(own: str, other: str) -> Column:
+    """Whether the fine signatures of two structs leave room for a link."""
 
     def folded(bits: Column, words: Column) -> Column:
         halves = F.transform(F.slice(bits, 1, words), lambda word, at: word.bitwiseOR(F.get(bits, at + words)))
@@ -271,21 +275,20 @@ def finely_alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         missing = F.zip_with(one, other, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
         return F.aggregate(missing, F.lit(0), lambda total, bits: total + bits)
 
-    low = nodes.select(F.col("node").alias("low"), F.col("size").alias("low_size"), F.col("fine").alias("low_fine"))
-    high = nodes.select(F.col("node").alias("high"), F.col("size").alias("high_size"), F.col("fine").alias("high_fine"))
-    words = F.least(F.size("low_fine"), F.size("high_fine"))
-    a, b = folded(F.col("low_fine"), words), folded(F.col("high_fine"), words)
-    most = F.least(F.col("low_size") - lacks(a, b), F.col("high_size") - lacks(b, a))
+    fine = F.col(f"{own}.fine"), F.col(f"{other}.fine")
+    sizes = F.col(f"{own}.size"), F.col(f"{other}.size")
+    words = F.least(F.size(fine[0]), F.size(fine[1]))
+    a, b = folded(fine[0], words), folded(fine[1], words)
+    most = F.least(sizes[0] - lacks(a, b), sizes[1] - lacks(b, a))
     # sets whose sizes pass the length filter have fine signatures of one length or of half the other's
-    apart = ~enough(most, F.col("low_size"), F.col("high_size"))
-    return (
-        pairs.join(low, "low").join(high, "high").filter(~F.coalesce(apart, F.lit(False))).drop("low_fine", "high_fine")
-    )
+    return ~F.coalesce(~enough(most, *sizes), F.lit(False))
 
 
 def ordered_pair(own: str, other: str) -> list[Column]:
-    nodes = F.col(f"{own}.node"), F.col(f"{other}.node")
-    return [F.least(*nodes).alias("low"), F.greatest(*nodes).alias("high")]
+    """``low, high, low_size, high_size`` of two structs."""
+    nodes = [F.struct(F.col(f"{side}.node"), F.col(f"{side}.size")) for side in (own, other)]
+    low, high = F.least(*nodes), F.greatest(*nodes)
+    return [low["node"].alias("low"), high["node"].alias("high"), low["size"].alias("low_size"), high["size"].alias("high_size")]
 
 
 def whole_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -328,12 +331,9 @@ def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFr
     )
 
 
-def open_entries(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+def open_entries(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries ``shingle, node, root`` of the shingles whose nodes are not all of one component yet."""
-    if roots is None:
-        rooted = shared.withColumn("root", F.col("node"))
-    else:
-        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return stored(rooted.join(several(rooted, "root"), "shingle"), "shingle-open")
 
 
@@ -353,7 +353,27 @@ def one_per_group(entries: DataFrame) -> DataFrame:
 
 
 def about(nodes: DataFrame, out: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(f"{out}_node"), F.struct("node", "size", *SIGNS).alias(out))
+    return nodes.select(F.col("node").alias(f"{out}_node"), F.struct("node", "size", *SIGNS, "fine").alias(out))
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, own: str, other: str) -> DataFrame:
+    """Of pairs of nodes, in columns ``own``_node and ``other``_node, those that pass the filters, as structs."""
+    told = pairs.join(about(nodes, own), f"{own}_node").join(about(nodes, other), f"{other}_node")
+    return told.filter(may_link(own, other) & may_link_finely(own, other))
+
+
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes with near fingerprints: each node with the first one of its fingerprint, and first ones of linked fingerprints."""
+    first = nodes.groupBy(F.col("simhash").alias("print")).agg(F.min("node").alias("first_node"))
+    firsts = cut_lineage(first)
+    equal = nodes.join(firsts, nodes["simhash"] == firsts["print"]).filter(F.col("node") != F.col("first_node"))
+    linked = near_duplicates.links(firsts.select("print"))
+    low = firsts.select(F.col("print").alias("low"), F.col("first_node").alias("own_node"))
+    high = firsts.select(F.col("print").alias("high"), F.col("first_node").alias("other_node"))
+    pairs = equal.select(F.col("node").alias("own_node"), F.col("first_node").alias("other_node")).union(
+        linked.join(low, "low").join(high, "high").select("own_node", "other_node")
+    )
+    return stored(alike(pairs, nodes, "own", "other").select(*ordered_pair("own", "other")), "shingle-pairs")
 
 
 def leader_pairs(entries: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
@@ -366,16 +386,10 @@ def leader_pairs(entries: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
         .groupBy(F.col("node").alias("own_node"), F.col("leader.node").alias("leader_node"))
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    near = (
-        met.join(about(nodes, "own"), "own_node")
-        .join(about(nodes, "leader"), "leader_node")
-        .filter(may_link("own", "leader"))
-        .select("own_node", "leader_node", "shared", *ordered_pair("own", "leader"))
-    )
+    near = alike(met, nodes, "own", "leader").select("own_node", "leader_node", "shared", *ordered_pair("own", "leader"))
     pair = F.struct("low", "high", "low_size", "high_size")
     return stored(
-        finely_alike(near, nodes)
-        .groupBy("own_node")
+        near.groupBy("own_node")
         .agg(F.max_by(pair, F.struct("shared", "leader_node")).alias("pair"))
         .select("pair.*")
         .distinct(),
@@ -386,10 +400,11 @@ def leader_pairs(entries: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
 def all_pairs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs of different components that share a prefix shingle and pass the filters."""
     own = entries.withColumnRenamed("node", "own_node").join(about(nodes, "own"), "own_node").select("shingle", "root", "own")
-    other = own.select("shingle", F.col("root").alias("other_root"), F.col("own").alias("other"))
+    other = own.select(F.col("shingle").alias("other_shingle"), F.col("root").alias("other_root"), F.col("own").alias("other"))
     apart = (F.col("own.node") < F.col("other.node")) & (F.col("root") != F.col("other_root"))
-    near = own.join(other, "shingle").filter(apart & may_link("own", "other")).select(*ordered_pair("own", "other")).distinct()
-    return stored(finely_alike(near, nodes), "shingle-pairs")
+    met = apart & may_link("own", "other") & may_link_finely("own", "other")
+    near = own.join(other, (F.col("shingle") == F.col("other_shingle")) & met).select(*ordered_pair("own", "other")).distinct()
+    return stored(near, "shingle-pairs")
 
 
 def links(documents: DataFrame, marked: DataFrame) -> DataFrame:
@@ -398,7 +413,7 @@ def links(documents: DataFrame, marked: DataFrame) -> DataFrame:
     common = stored(several(prefix_entries(documents, counts), "node"), "shingle-common")
     again = prefix_entries(documents, counts, bitmap_of(common, COMMON_BITS))
     shared = one_per_group(stored(again.join(common, "shingle").distinct(), "shingle-entries"))
-    told = F.struct("doc_id", "text_hash", "size", *SIGNS, "fine")
+    told = F.struct("doc_id", "text_hash", "size", "simhash", *SIGNS, "fine")
     nodes = (
         marked.withColumnRenamed("print", "node")
         .join(shared.select("node").distinct(), "node")
@@ -407,12 +422,13 @@ def links(documents: DataFrame, marked: DataFrame) -> DataFrame:
         .select("node", "told.*")
     )
     nodes = stored(nodes, "shingle-nodes")
-    found, roots = None, None
+    found = verified(near_pairs(nodes), documents, nodes)
+    roots = components(found)
     for order in range(ROUNDS + 1):
         entries = open_entries(shared, roots)
         pairs = leader_pairs(entries, nodes, order) if order < ROUNDS else all_pairs(entries, nodes)
         new = verified(pairs, documents, nodes)
-        found = new if found is None else found.union(new)
+        found = found.union(new)
         roots = components(found) if order < ROUNDS else None
     return found
 

@@ -5,7 +5,9 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
+from alertweave.llm import near_duplicates
 from alertweave.llm import similar_texts as st
+from pyspark.sql import functions as F
 
 
 def shingles(text):
@@ -113,3 +115,48 @@ def test_signatures_never_undercount():
         first, second = st.signature(one), st.signature(other)
         lacks = lambda x, y: sum(int(v).bit_count() for v in (x & ~y).view("<u8"))
         assert common <= min(len(one) - lacks(first, second), len(other) - lacks(second, first))
+
+
+def test_near_fingerprints_are_paired_first(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(900)]
+    texts = []
+    for _ in range(30):
+        base = rng.choices(words, k=400)
+        texts.append(base)
+        for _ in range(5):
+            copy = list(base)
+            copy[rng.randrange(400)] = rng.choice(words)
+            texts.append(copy)
+    rows = [(k, " ".join(text)) for k, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes = st.fingerprints(frame).withColumnRenamed("print", "node").cache()
+    sets = {st.set_key(one): one for one in st.shingle_sets([text.lower().encode().split() for _, text in rows])}
+    prints = {node: near_duplicates.majority(one) for node, one in sets.items()}
+    assert {r.node: r.simhash for r in nodes.collect()} == prints
+    first = {}
+    for node in sorted(prints):
+        first.setdefault(prints[node], node)
+    near = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= near_duplicates.RADIUS
+    want = {tuple(sorted((first[p], node))) for node, p in prints.items() if first[p] != node}
+    want |= {tuple(sorted((first[a], first[b]))) for a in first for b in first if a < b and near(a, b)}
+    alike = lambda a, b: 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))
+    got = {(r.low, r.high) for r in st.near_pairs(nodes).collect()}
+    assert got <= want and {pair for pair in want if alike(*pair)} <= got and len(got) > 30
+
+
+def test_long_texts_that_fill_their_signatures_are_told_apart(spark):
+    rng = random.Random(13)
+    one, other = ([f"w{rng.randrange(9000)}" for _ in range(4000)] for _ in range(2))
+    copy = one[:3900] + other[:100]
+    rows = [(k, " ".join(text)) for k, text in enumerate((one, other, copy))]
+    nodes = st.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    told = nodes.select("doc_id", F.struct(F.col("print").alias("node"), "size", *st.SIGNS, "fine").alias("own"))
+    pairs = told.join(told.select(F.col("doc_id").alias("other_id"), F.col("own").alias("other")), F.col("doc_id") < F.col("other_id"))
+    found = {
+        (r.doc_id, r.other_id): (r.coarse, r.fine)
+        for r in pairs.select(
+            "doc_id", "other_id", st.may_link("own", "other").alias("coarse"), st.may_link_finely("own", "other").alias("fine")
+        ).collect()
+    }
+    assert found == {(0, 1): (True, False), (0, 2): (True, True), (1, 2): (True, False)}
