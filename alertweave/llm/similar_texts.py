@@ -352,14 +352,17 @@ def one_per_group(entries: DataFrame) -> DataFrame:
     return stored(entries.join(kept, "shingle"), "shingle-shared")
 
 
-def about(nodes: DataFrame, out: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(f"{out}_node"), F.struct("node", "size", *SIGNS, "fine").alias(out))
+def about(nodes: DataFrame, out: str, *more: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(f"{out}_node"), F.struct("node", "size", *SIGNS, *more).alias(out))
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, own: str, other: str) -> DataFrame:
-    """Of pairs of nodes, in columns ``own``_node and ``other``_node, those that pass the filters, as structs."""
+    """Of pairs of nodes, in columns ``own``_node and ``other``_node, those that pass the filters, as structs.
+    Fine signatures move only to pairs that pass the first filter."""
     told = pairs.join(about(nodes, own), f"{own}_node").join(about(nodes, other), f"{other}_node")
-    return told.filter(may_link(own, other) & may_link_finely(own, other))
+    near = told.filter(may_link(own, other)).drop(own, other)
+    told = near.join(about(nodes, own, "fine"), f"{own}_node").join(about(nodes, other, "fine"), f"{other}_node")
+    return told.filter(may_link_finely(own, other))
 
 
 def near_pairs(nodes: DataFrame) -> DataFrame:
@@ -399,7 +402,7 @@ def leader_pairs(entries: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
 
 def all_pairs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs of different components that share a prefix shingle and pass the filters."""
-    own = entries.withColumnRenamed("node", "own_node").join(about(nodes, "own"), "own_node").select("shingle", "root", "own")
+    own = entries.withColumnRenamed("node", "own_node").join(about(nodes, "own", "fine"), "own_node").select("shingle", "root", "own")
     other = own.select(F.col("shingle").alias("other_shingle"), F.col("root").alias("other_root"), F.col("own").alias("other"))
     apart = (F.col("own.node") < F.col("other.node")) & (F.col("root") != F.col("other_root"))
     met = apart & may_link("own", "other") & may_link_finely("own", "other")
