@@ -4,17 +4,20 @@ A range is put into each bin it touches and a line into its own, so they meet in
 and a residual comparison. Lines are made distinct first: a bin of ``width`` lines then yields at
 most ``width`` pairs for each range in it, however many points share a line.
 
-Where points and ranges lie in the same row, ``covers_of_rows`` finds the same without moving anything
-that is already dealt by (some of) the row's keys.
+Where points and ranges lie in the same row, ``covers_of_rows`` finds the same by the bins inside the row:
+nothing is moved, sorted or grouped, so nothing can spill.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertweave.functions.expressions import let, record
+
 BIN_LINES = 64
-_RANGE = "struct<range_ord:int,low:int,high:int>"
 
 
 def bin_of(line: Column, width: int) -> Column:
@@ -47,86 +50,97 @@ def outermost_covers(points: DataFrame, ranges: DataFrame, keys: list[str], widt
     return points.join(covers, [*keys, "at"], "left")
 
 
+def first_from(ordered: Column, before: Callable[[Column], Column]) -> Column:
+    """Position of the first element that is not ``before`` the wanted place; halves the ordered elements at each step."""
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.shiftright(span["low"] + span["high"], 1)
+        earlier = before(F.get(ordered, middle))
+        return F.when(span["low"] >= span["high"], span).otherwise(
+            record(
+                low=F.when(earlier, middle + 1).otherwise(span["low"]),
+                high=F.when(earlier, span["high"]).otherwise(middle),
+            )
+        )
+
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.size(ordered))))
+    return F.aggregate(halvings, record(low=F.lit(0), high=F.size(ordered)), halve)["low"]
+
+
 def covers_of_rows(rows: DataFrame, keys: list[str], points: Column, ranges: Column, width: int = BIN_LINES) -> DataFrame:
-    """``rows`` with ``covers``: per element of ``points`` (structs ``part, ord, path, at``) the
+    """``rows``, ``keys`` first, with ``covers``: per element of ``points`` (structs ``part, ord, path, at``) the
     ``first_cover`` and ``last_cover`` among ``ranges`` (structs ``range_ord, path, low, high``) of the same
     row and path, ordered by ``part`` and ``ord``; null rules are those of ``outermost_covers``.
 
-    ``keys`` tell rows apart and ``points`` has an element in every row. Points and ranges of a row meet by
-    equal path and line bin in two groupings by keys that begin with ``keys``, so rows that are dealt by
-    those keys, or some of them, stay where they are. The row itself travels with its first point.
+    The row's ranges are ordered by path and line bin once. Each line of the row, however many points share it, finds
+    its bin there by halving and is held against the ranges of that bin; each point finds its line in the same way.
     """
-    own = [name for name in rows.columns if name not in keys]
-    no_point, no_range = F.lit(None).cast("struct<part:int,ord:int,at:int>"), F.lit(None).cast(_RANGE)
-
-    def of_point(point: Column) -> Column:
-        return F.struct(
-            point["path"].alias("path"),
-            bin_of(point["at"], width).alias("line_bin"),
-            F.struct(point["part"].alias("part"), point["ord"].alias("ord"), point["at"].alias("at")).alias("point"),
-            no_range.alias("range"),
-        )
 
-    def of_range(span: Column) -> Column:
-        bins = F.sequence(bin_of(span["low"], width), bin_of(span["high"], width))
+    def in_bins(span: Column) -> Column:
         return F.transform(
-            bins,
-            lambda line_bin: F.struct(
-                span["path"].alias("path"),
-                line_bin.alias("line_bin"),
-                no_point.alias("point"),
-                F.struct(span["range_ord"].alias("range_ord"), span["low"].alias("low"), span["high"].alias("high"))
-                .cast(_RANGE)
-                .alias("range"),
+            F.sequence(bin_of(span["low"], width), bin_of(span["high"], width)),
+            lambda line_bin: record(
+                path=span["path"], line_bin=line_bin, range_ord=span["range_ord"], low=span["low"], high=span["high"]
             ),
         )
 
+    def of_line(binned: Column) -> Callable[[Column], Column]:
+        def covered(line: Column) -> Column:
+            own = bin_of(line["at"], width)
+            start = first_from(
+                binned, lambda one: (one["path"] < line["path"]) | ((one["path"] == line["path"]) & (one["line_bin"] < own))
+            )
+            end = first_from(
+                binned, lambda one: (one["path"] < line["path"]) | ((one["path"] == line["path"]) & (one["line_bin"] <= own))
+            )
+            here = let(
+                record(start=start, end=end),
+                lambda span: F.filter(
+                    F.slice(binned, span["start"] + 1, span["end"] - span["start"]),
+                    lambda one: line["at"].between(one["low"], one["high"]),
+                ),
+            )
+            return let(
+                here,
+                lambda held: record(
+                    path=line["path"],
+                    at=line["at"],
+                    first_cover=F.get(held, F.lit(0))["range_ord"],
+                    last_cover=F.get(held, F.size(held) - 1)["range_ord"],
+                ),
+            )
+
+        return covered
+
+    def of_point(lines: Column) -> Callable[[Column], Column]:
+        def covered(point: Column) -> Column:
+            place = first_from(
+                lines, lambda one: (one["path"] < point["path"]) | ((one["path"] == point["path"]) & (one["at"] < point["at"]))
+            )
+            return let(
+                F.get(lines, place),
+                lambda line: let(
+                    (line["path"] == point["path"]) & (line["at"] == point["at"]),
+                    lambda found: record(
+                        part=point["part"],
+                        ord=point["ord"],
+                        first_cover=F.when(found, line["first_cover"]),
+                        last_cover=F.when(found, line["last_cover"]),
+                    ),
+                ),
+            )
+
+        return covered
+
     held = F.filter(ranges, lambda span: span["path"].isNotNull() & (span["low"] <= span["high"]))
-    entries = F.concat(F.transform(points, of_point), F.flatten(F.transform(held, of_range)))
-    exploded = rows.select(*keys, F.struct(*own).alias("row"), F.posexplode(entries).alias("entry_ord", "entry")).select(
-        *keys, F.when(F.col("entry_ord") == 0, F.col("row")).alias("row"), "entry.*"
-    )
-    in_bin = exploded.groupBy(*keys, "path", "line_bin").agg(
-        F.first("row", ignorenulls=True).alias("row"),
-        F.collect_list("point").alias("points"),
-        F.array_sort(F.collect_list("range")).alias("ranges"),
-    )
-    # each line of the bin once, however many points share it
-    lines = F.transform(
-        F.array_distinct(F.transform("points", lambda point: point["at"])),
-        lambda at: F.struct(
-            at.alias("at"), F.filter("ranges", lambda span: at.between(span["low"], span["high"])).alias("held")
-        ),
-    )
-    outer = F.transform(
-        lines,
-        lambda line: F.struct(
-            line["at"].alias("at"),
-            F.get(line["held"], F.lit(0))["range_ord"].alias("first_cover"),
-            F.get(line["held"], F.size(line["held"]) - 1)["range_ord"].alias("last_cover"),
-        ),
-    )
-    found = F.transform(
-        "points",
-        lambda point: F.struct(
-            point["part"].alias("part"),
-            point["ord"].alias("ord"),
-            F.get(F.filter("outer", lambda line: line["at"] == point["at"]), F.lit(0)).alias("line"),
-        ),
-    )
-    covers = F.transform(
-        found,
-        lambda one: F.struct(
-            one["part"].alias("part"),
-            one["ord"].alias("ord"),
-            one["line"]["first_cover"].alias("first_cover"),
-            one["line"]["last_cover"].alias("last_cover"),
-        ),
-    )
-    return (
-        in_bin.withColumn("outer", outer)
-        .select(*keys, "row", covers.alias("covers"))
-        .groupBy(*keys)
-        .agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.flatten(F.collect_list("covers"))).alias("covers"))
-        .select(*keys, "row.*", "covers")
+    binned = F.array_sort(F.flatten(F.transform(held, in_bins)))
+    whole = F.filter(points, lambda point: point["path"].isNotNull() & point["at"].isNotNull())
+    lines = let(
+        F.array_sort(F.transform(whole, lambda point: record(path=point["path"], at=point["at"]))),
+        lambda every: F.filter(every, lambda line, at: (at == 0) | (line != F.get(every, at - 1))),
     )
+    outer = let(binned, lambda ordered: F.transform(lines, of_line(ordered)))
+    covers = let(points, lambda asked: let(outer, lambda told: F.array_sort(F.transform(asked, of_point(told)))))
+    own = [name for name in rows.columns if name not in keys]
+    # a one-element explode, so that what reads the covers later does not find them again
+    return rows.select(*keys, *own, F.explode_outer(F.array(covers)).alias("covers"))

@@ -113,3 +113,18 @@ def test_only_narrow_rows_are_dealt_for_the_graph(spark, query):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(dealt) == 3 and all("hashpartitioning(raw_sarif_sha256#" in line for line in dealt)
     assert "Scan ExistingRDD" not in plan
+
+
+def test_covers_of_rows_moves_sorts_and_groups_nothing(spark):
+    """A row that is carried through a sort or a grouping for its covers spills with all its slices."""
+    frame = spark.createDataFrame(
+        [(1, [(0, 0, "x", 70)], [(0, "x", 60, 70), (1, "x", 65, 200)])],
+        "doc int, points array<struct<part:int,ord:int,path:string,at:int>>,"
+        "ranges array<struct<range_ord:int,path:string,low:int,high:int>>",
+    )
+    got = covers_of_rows(frame, ["doc"], F.col("points"), F.col("ranges"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [word for word in ("Exchange", "Sort ", "Aggregate") if word in plan]
+    assert [tuple(one) for one in got.first().covers] == [(0, 0, 0, 1)]
+    # rows with equal keys are rows of their own
+    assert covers_of_rows(frame.union(frame), ["doc"], F.col("points"), F.col("ranges")).count() == 2
