@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertweave.session import cut_lineage
+from alertweave.session import cut_lineage, shuffles_removed
 
 RADIUS = 2
 SHINGLE = 3
@@ -144,7 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
             ).alias("offer")
         )
         parents = cut_lineage(offers.select("offer.*").groupBy("node").agg(F.min("root").alias("root")))
-        now = parents.agg(F.count(F.lit(1)), F.sum(F.col("root").cast("decimal(38,0)"))).first()
+        with shuffles_removed(parents.sparkSession):
+            now = parents.agg(F.count(F.lit(1)), F.sum(F.col("root").cast("decimal(38,0)"))).first()
         if now == before:
             return parents
         before = now

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from alertweave.llm import near_duplicates
 from alertweave.llm.near_duplicates import components, first_of_each
 from alertweave.llm.shared import prepare, stored
-from alertweave.session import cut_lineage
+from alertweave.session import cut_lineage, shuffles_removed
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
@@ -174,8 +174,9 @@ def bucket_counts(documents: DataFrame) -> np.ndarray:
 
     found = documents.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for row in found.orderBy(F.desc("n"), "bucket").limit(FULLEST).collect():
-        counts[row["bucket"]] = row["n"]
+    with shuffles_removed(documents.sparkSession):
+        for row in found.orderBy(F.desc("n"), "bucket").limit(FULLEST).collect():
+            counts[row["bucket"]] = row["n"]
     return counts
 
 
@@ -186,7 +187,8 @@ def bitmap_of(values: DataFrame, bits: int) -> np.ndarray:
     words = values.groupBy(F.shiftright(bit, 6).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, {1 << bits}) % 64 AS int))")).alias("bits")
     )
-    found = words.toArrow()
+    with shuffles_removed(values.sparkSession):
+        found = words.select("*").toArrow()
     bitmap = np.zeros((1 << bits) // 64, dtype=np.int64)
     bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
     return bitmap
