@@ -90,3 +90,15 @@ def test_uris(spark):
         got = rows[uri]
         assert got.reason is None
         assert (got.flavor, got.absolute, got.parts) == wanted
+
+
+def test_lines_are_split_without_taking_each_apart(spark):
+    """Lines keep every kind of end, CR LF is one; no pattern is matched against whole lines, which took most of a query."""
+    texts = {
+        "": [], "a": ["a"], "\n": ["\n"], "\r\n": ["\r\n"], "\n\r": ["\n", "\r"], "a\r\r\n\nb": ["a\r", "\r\n", "\n", "b"],
+        "a b \x85": ["a ", "b ", "\x85"], "x\x0by\x0cz\x1c\x1d\x1e\x1f": ["x\x0b", "y\x0c", "z\x1c", "\x1d", "\x1e", "\x1f"],
+    }
+    frame = spark.createDataFrame([(text, lines) for text, lines in texts.items()] + [(None, None)], "text string, want array<string>")
+    got = frame.select("want", E.split_lines(F.col("text")).alias("got"))
+    assert all(row.got == row.want for row in got.collect())
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
