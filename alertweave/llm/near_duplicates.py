@@ -11,7 +11,8 @@ half the ball is enough, and half as many probes move.
 
 Only distinct fingerprints are linked, so exact copies cost nothing beyond a minimum per
 fingerprint. Components come from rounds of hooking and shortcutting in which every step is a join
-with one row per node or a minimum, with a reliable checkpoint per round; nothing is gathered.
+with one row per node or a minimum; each round is kept as a small Parquet table, whose size Spark knows
+before it plans the next one. Nothing is gathered.
 
 Texts without words (null and blank ones too) have fingerprint zero and link like any other. Rows
 with a null ``doc_id`` take part; a component of such rows only has a null id. Repeated rows get
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertweave.session import cut_lineage, shuffles_removed
+from alertweave.session import cut_lineage, shuffles_removed, stored
 
 RADIUS = 2
 SHINGLE = 3
@@ -123,8 +124,8 @@ def components(edges: DataFrame) -> DataFrame:
         F.struct(F.col("low").alias("node"), F.col("high").alias("peer")),
         F.struct(F.col("high").alias("node"), F.col("low").alias("peer")),
     )
-    both = cut_lineage(edges.select(F.explode(ways).alias("way")).select("way.*"))
-    parents = cut_lineage(both.groupBy("node").agg(F.least(F.col("node"), F.min("peer")).alias("root")))
+    both = stored(edges.select(F.explode(ways).alias("way")).select("way.*"), "graph-edges")
+    parents = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("peer")).alias("root")), "graph-roots")
     before = None
     while True:
         grand = parents.join(
@@ -143,7 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
                 )
             ).alias("offer")
         )
-        parents = cut_lineage(offers.select("offer.*").groupBy("node").agg(F.min("root").alias("root")))
+        parents = stored(offers.select("offer.*").groupBy("node").agg(F.min("root").alias("root")), "graph-roots")
         with shuffles_removed(parents.sparkSession):
             now = parents.agg(F.count(F.lit(1)), F.sum(F.col("root").cast("decimal(38,0)"))).first()
         if now == before:

@@ -14,8 +14,8 @@ verified on the whole sets. No link is lost.
 
 Shingles that the very same nodes have in their prefixes say the same, and one of them stays. Only
 components are wanted, so SimHash comes first: nodes with near fingerprints are found by multi-index hashing
-(``near_duplicates``) and verified like all others. Nodes that share a prefix shingle are then held against a leader of
-theirs, the one they share most with, in ``ROUNDS`` rounds of at most a pair per node. All pairs are
+(``near_duplicates``) and verified like all others. Nodes that share a prefix shingle are then held against leaders of
+theirs, those they share most with, in ``ROUNDS`` rounds of a few pairs per node. All pairs are
 at last formed only between nodes of different components; both signature filters are part of that join, so that
 only pairs that are to be verified come out of it.
 
@@ -45,15 +45,16 @@ from pyspark.sql import functions as F
 from alertweave.llm import near_duplicates
 from alertweave.llm.near_duplicates import components, first_of_each
 from alertweave.llm.shared import prepare, stored
-from alertweave.session import cut_lineage, shuffles_removed
+from alertweave.session import shuffles_removed
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
 BUCKETS = 1 << 18
 # the fullest buckets, whose counts reach the driver; the others count as equally rare
 FULLEST = 1 << 14
-# rounds in which nodes are held against leaders
+# rounds in which nodes are held against leaders, and how many a node meets in the later ones
 ROUNDS = 2
+LEADERS = 4
 # 64-bit words of a signature, and bits per shingle of a fine one
 SIGNATURE = 16
 FINE = 4
@@ -206,30 +207,37 @@ def sampled(hashes: np.ndarray) -> np.ndarray:
 
 def prefix_entries(documents: DataFrame, counts: np.ndarray, common: np.ndarray | None = None) -> DataFrame:
     """``shingle, node`` of all shingles that can be in a prefix; with the bitmap of ``common`` ones, of
-    the common ones in the prefix. Texts with equal sets may repeat them."""
+    the common ones in the prefix, and ``own_share``, how many thousandths of the prefix are others. Texts with equal
+    sets may repeat them."""
     shared = documents.sparkSession.sparkContext.broadcast((counts, common))
+    marked = common is not None
+    names = ["shingle", "node"] + ["own_share"] * marked
 
-    def chosen(hashes: np.ndarray, known: np.ndarray, marks: np.ndarray | None) -> np.ndarray:
+    def chosen(hashes: np.ndarray, known: np.ndarray, marks: np.ndarray | None) -> tuple[np.ndarray, int]:
         size = len(hashes)
         length = size - -(-SIMILARITY.numerator * size // SIMILARITY.denominator) + 1
         often = known[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
         later = ~sampled(hashes)
         if marks is None:
             # whichever of the sampled ones turn out to be common, the prefix is among these
-            return hashes[np.lexsort((hashes, often, later))[: max(length, size - int(later.sum()))]]
-        marked = marked_in(marks, hashes)
-        first = hashes[np.lexsort((hashes, often, marked & ~later, later))[:length]]
-        return first[marked_in(marks, first)]
+            return hashes[np.lexsort((hashes, often, later))[: max(length, size - int(later.sum()))]], 0
+        told = marked_in(marks, hashes)
+        first = hashes[np.lexsort((hashes, often, told & ~later, later))[:length]]
+        kept = first[marked_in(marks, first)]
+        return kept, 1000 - 1000 * len(kept) // length
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, marks = shared.value
-        held: list[tuple[np.ndarray, int]] = []
+        held: list[tuple[np.ndarray, int, int]] = []
         n_held = 0
 
         def rows() -> pa.RecordBatch:
-            first = np.concatenate([first for first, _ in held])
-            nodes = np.repeat([node for _, node in held], [len(first) for first, _ in held])
-            return pa.RecordBatch.from_arrays([pa.array(first), pa.array(nodes, pa.int64())], ["shingle", "node"])
+            sizes = [len(first) for first, _, _ in held]
+            columns = [pa.array(np.concatenate([first for first, _, _ in held]))]
+            columns.append(pa.array(np.repeat([node for _, node, _ in held], sizes), pa.int64()))
+            if marked:
+                columns.append(pa.array(np.repeat([share for _, _, share in held], sizes), pa.int16()))
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             done: set[int] = set()
@@ -238,7 +246,8 @@ def prefix_entries(documents: DataFrame, counts: np.ndarray, common: np.ndarray
                 if not len(hashes) or node in done:
                     continue
                 done.add(node)
-                held.append((chosen(hashes, known, marks).astype(np.int64), node))
+                first, share = chosen(hashes, known, marks)
+                held.append((first.astype(np.int64), node, share))
                 n_held += len(held[-1][0])
                 if n_held >= ENTRIES_AT_ONCE:
                     yield rows()
@@ -246,7 +255,8 @@ def prefix_entries(documents: DataFrame, counts: np.ndarray, common: np.ndarray
         if n_held:
             yield rows()
 
-    return documents.select("text").mapInArrow(entries, "shingle bigint, node bigint")
+    kind = "shingle bigint, node bigint" + ", own_share smallint" * marked
+    return documents.select("text").mapInArrow(entries, kind)
 
 
 def enough(common: Column, left: Column, right: Column) -> Column:
@@ -325,16 +335,17 @@ def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFr
     wanted = stored(nodes.select("node", "doc_id", "text_hash").join(asked, "node").withColumnRenamed("node", "print"), "shingle-wanted")
     whole = stored(whole_sets(documents, wanted), "shingle-sets")
     common = F.size(F.array_intersect("low_hashes", "high_hashes"))
-    return cut_lineage(
+    return stored(
         pairs.join(whole.select(F.col("print").alias("low"), F.col("hashes").alias("low_hashes")), "low")
         .join(whole.select(F.col("print").alias("high"), F.col("hashes").alias("high_hashes")), "high")
         .filter(enough(common, F.col("low_size"), F.col("high_size")))
-        .select("low", "high")
+        .select("low", "high"),
+        "shingle-links",
     )
 
 
 def open_entries(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries ``shingle, node, root`` of the shingles whose nodes are not all of one component yet."""
+    """Entries ``shingle, node, own_share, root`` of the shingles whose nodes are not all of one component yet."""
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return stored(rooted.join(several(rooted, "root"), "shingle"), "shingle-open")
 
@@ -370,7 +381,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, own: str, other: str) -> DataFrame
 def near_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs of nodes with near fingerprints: each node with the first one of its fingerprint, and first ones of linked fingerprints."""
     first = nodes.groupBy(F.col("simhash").alias("print")).agg(F.min("node").alias("first_node"))
-    firsts = cut_lineage(first)
+    firsts = stored(first, "shingle-firsts")
     equal = nodes.join(firsts, nodes["simhash"] == firsts["print"]).filter(F.col("node") != F.col("first_node"))
     linked = near_duplicates.links(firsts.select("print"))
     low = firsts.select(F.col("print").alias("low"), F.col("first_node").alias("own_node"))
@@ -382,8 +393,11 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def leader_pairs(entries: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
-    """For each node at most one pair: with the leader, of those of its shingles, that it shares most with."""
-    rank = F.struct(F.xxhash64(F.lit(order), "node"), F.col("node"))
+    """For each node pairs with those leaders of its shingles that it shares most with: one in the first round, ``LEADERS`` later.
+    A shingle's leader is the node with least of its own: of near copies, the one that most of them come from. Of equal
+    ones it is drawn, anew in each round and for each of ``LEADERS`` parts of the shingles."""
+    drawn = F.xxhash64(F.lit(order), F.pmod("shingle", F.lit(LEADERS)), "node")
+    rank = F.struct(F.col("own_share"), drawn, F.col("node"))
     leaders = entries.groupBy("shingle").agg(F.min_by(F.struct("node", "root"), rank).alias("leader"))
     met = (
         entries.join(leaders, "shingle")
@@ -392,19 +406,18 @@ def leader_pairs(entries: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     near = alike(met, nodes, "own", "leader").select("own_node", "leader_node", "shared", *ordered_pair("own", "leader"))
-    pair = F.struct("low", "high", "low_size", "high_size")
+    # a node has at most as many leaders as shingles in its prefix
+    told = F.struct("shared", "leader_node", F.struct("low", "high", "low_size", "high_size").alias("pair"))
+    most = F.slice(F.sort_array(F.collect_list(told), asc=False), 1, LEADERS if order else 1)
     return stored(
-        near.groupBy("own_node")
-        .agg(F.max_by(pair, F.struct("shared", "leader_node")).alias("pair"))
-        .select("pair.*")
-        .distinct(),
+        near.groupBy("own_node").agg(most.alias("most")).select(F.explode("most.pair").alias("pair")).select("pair.*").distinct(),
         "shingle-pairs",
     )
 
 
 def all_pairs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs of different components that share a prefix shingle and pass the filters."""
-    own = entries.withColumnRenamed("node", "own_node").join(about(nodes, "own", "fine"), "own_node").select("shingle", "root", "own")
+    own = entries.select("shingle", "root", F.col("node").alias("own_node")).join(about(nodes, "own", "fine"), "own_node").select("shingle", "root", "own")
     other = own.select(F.col("shingle").alias("other_shingle"), F.col("root").alias("other_root"), F.col("own").alias("other"))
     apart = (F.col("own.node") < F.col("other.node")) & (F.col("root") != F.col("other_root"))
     met = apart & may_link("own", "other") & may_link_finely("own", "other")
@@ -445,10 +458,12 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     marked = fingers.select("doc_id", "text_hash", "print")
     prints = marked.groupBy("print").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(documents, fingers))
-    rooted = cut_lineage(
+    rooted = stored(
         prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
             "print", "first_id", F.coalesce("root", "print").alias("root")
-        )
+        ),
+        "shingle-roots",
     )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return first_of_each(documents, marked, cut_lineage(rooted.join(least, "root").select("print", "root", "component_id")))
+    groups = stored(rooted.join(least, "root").select("print", "root", "component_id"), "shingle-groups")
+    return first_of_each(documents, marked, groups)

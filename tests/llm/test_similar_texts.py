@@ -160,3 +160,29 @@ def test_long_texts_that_fill_their_signatures_are_told_apart(spark):
         ).collect()
     }
     assert found == {(0, 1): (True, False), (0, 2): (True, True), (1, 2): (True, False)}
+
+
+def test_near_copies_meet_the_text_that_they_come_from(spark):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(140)]
+    texts = [" ".join(base)]
+    for copy in range(60):
+        words = list(base)
+        # each copy is near the base, and most are not near each other
+        for at in rng.sample(range(8, 132, 4), 3):
+            words[at] = f"x{copy}y{at}"
+        texts.append(" ".join(words))
+    sets = [(st.set_key(one), one) for one in st.shingle_sets([[w.encode() for w in text.split()] for text in texts])]
+    nodes = spark.createDataFrame(
+        [(key, k, k, len(one), *st.signature(one).tolist(), st.signature(one, st.fine_words(len(one))).tolist()) for k, (key, one) in enumerate(sets)],
+        "node bigint, doc_id bigint, text_hash bigint, size bigint, " + ", ".join(f"{s} bigint" for s in st.SIGNS) + ", fine array<bigint>",
+    )
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts = st.bucket_counts(documents)
+    common = st.several(st.prefix_entries(documents, counts), "node")
+    again = st.prefix_entries(documents, counts, st.bitmap_of(common, st.COMMON_BITS))
+    shared = st.one_per_group(again.join(common, "shingle").distinct())
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    pairs = st.leader_pairs(st.open_entries(shared, roots), nodes, 0).collect()
+    met = {row["low"] for row in pairs if row["high"] == sets[0][0]} | {row["high"] for row in pairs if row["low"] == sets[0][0]}
+    assert met == {key for key, _ in sets[1:]}
