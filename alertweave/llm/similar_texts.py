@@ -53,7 +53,7 @@ BUCKETS = 1 << 18
 # the fullest buckets, whose counts reach the driver; the others count as equally rare
 FULLEST = 1 << 14
 # rounds in which nodes are held against leaders, and how many a node meets in the later ones
-ROUNDS = 2
+ROUNDS = 3
 LEADERS = 4
 # 64-bit words of a signature, and bits per shingle of a fine one
 SIGNATURE = 16
