@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from alertweave.functions.expressions import let, record
 
 BIN_LINES = 64
+# Up to so many pairs of a row's points and ranges, holding each point against each range costs less than bins and halving.
+FEW_PAIRS = 1024
 
 
 def bin_of(line: Column, width: int) -> Column:
@@ -67,14 +69,32 @@ def first_from(ordered: Column, before: Callable[[Column], Column]) -> Column:
     return F.aggregate(halvings, record(low=F.lit(0), high=F.size(ordered)), halve)["low"]
 
 
-def covers_of_rows(rows: DataFrame, keys: list[str], points: Column, ranges: Column, width: int = BIN_LINES) -> DataFrame:
+def covers_of_rows(
+    rows: DataFrame, keys: list[str], points: Column, ranges: Column, width: int = BIN_LINES, few: int = FEW_PAIRS
+) -> DataFrame:
     """``rows``, ``keys`` first, with ``covers``: per element of ``points`` (structs ``part, ord, path, at``) the
     ``first_cover`` and ``last_cover`` among ``ranges`` (structs ``range_ord, path, low, high``) of the same
     row and path, ordered by ``part`` and ``ord``; null rules are those of ``outermost_covers``.
 
     The row's ranges are ordered by path and line bin once. Each line of the row, however many points share it, finds
     its bin there by halving and is held against the ranges of that bin; each point finds its line in the same way.
+    Rows of no more than ``few`` pairs are searched as they are.
     """
+    own = [name for name in rows.columns if name not in keys]
+    rows = rows.select(*keys, *own, points.alias("_points"), F.sort_array(ranges).alias("_ranges"))
+    points, ranges = F.col("_points"), F.col("_ranges")
+
+    def searched(point: Column) -> Column:
+        here = F.filter(ranges, lambda one: (one["path"] == point["path"]) & point["at"].between(one["low"], one["high"]))
+        return let(
+            here,
+            lambda held: record(
+                part=point["part"],
+                ord=point["ord"],
+                first_cover=F.get(held, F.lit(0))["range_ord"],
+                last_cover=F.get(held, F.size(held) - 1)["range_ord"],
+            ),
+        )
 
     def in_bins(span: Column) -> Column:
         return F.transform(
@@ -133,14 +153,15 @@ def covers_of_rows(rows: DataFrame, keys: list[str], points: Column, ranges: Col
         return covered
 
     held = F.filter(ranges, lambda span: span["path"].isNotNull() & (span["low"] <= span["high"]))
-    binned = F.array_sort(F.flatten(F.transform(held, in_bins)))
+    binned = F.sort_array(F.flatten(F.transform(held, in_bins)))
     whole = F.filter(points, lambda point: point["path"].isNotNull() & point["at"].isNotNull())
     lines = let(
-        F.array_sort(F.transform(whole, lambda point: record(path=point["path"], at=point["at"]))),
+        F.sort_array(F.transform(whole, lambda point: record(path=point["path"], at=point["at"]))),
         lambda every: F.filter(every, lambda line, at: (at == 0) | (line != F.get(every, at - 1))),
     )
     outer = let(binned, lambda ordered: F.transform(lines, of_line(ordered)))
-    covers = let(points, lambda asked: let(outer, lambda told: F.array_sort(F.transform(asked, of_point(told)))))
-    own = [name for name in rows.columns if name not in keys]
+    halved = let(outer, lambda told: F.transform(points, of_point(told)))
+    pairs = F.size(points).cast("bigint") * F.size(ranges)
+    covers = F.sort_array(F.when(pairs <= few, F.transform(points, searched)).otherwise(halved))
     # a one-element explode, so that what reads the covers later does not find them again
     return rows.select(*keys, *own, F.explode_outer(F.array(covers)).alias("covers"))

@@ -128,3 +128,40 @@ def test_covers_of_rows_moves_sorts_and_groups_nothing(spark):
     assert [tuple(one) for one in got.first().covers] == [(0, 0, 0, 1)]
     # rows with equal keys are rows of their own
     assert covers_of_rows(frame.union(frame), ["doc"], F.col("points"), F.col("ranges")).count() == 2
+
+
+def test_few_pairs_are_searched_and_many_are_halved_alike(spark):
+    """Both ways of finding covers give the same, whatever the order of the ranges; a null list of ranges covers nothing."""
+    dice = random.Random(13)
+    rows = []
+    for doc in range(40):
+        points = [(n % 3, n, dice.choice(["x", "y", None]), dice.choice([None, dice.randint(0, 200)])) for n in range(dice.randint(0, 9))]
+        ranges = [
+            (n, dice.choice(["x", "y", None]), dice.choice([None, dice.randint(0, 150)]), dice.choice([None, 90, 200]))
+            for n in range(dice.randint(0, 9))
+        ]
+        dice.shuffle(ranges)
+        rows.append((doc, points, ranges))
+    rows.append((40, [(0, 0, "x", 3)], None))
+    frame = spark.createDataFrame(
+        rows,
+        "doc int, points array<struct<part:int,ord:int,path:string,at:int>>,"
+        "ranges array<struct<range_ord:int,path:string,low:int,high:int>>",
+    )
+    found = [
+        {r.doc: r.covers for r in covers_of_rows(frame, ["doc"], F.col("points"), F.col("ranges"), few=few).collect()}
+        for few in (-1, 5, 1024)
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 41
+    assert any(one.first_cover is not None for covers in found[0].values() for one in covers)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables here")
+@pytest.mark.parametrize("query", ["evidence_nodes", "evidence_edges"])
+def test_the_graph_is_made_once_a_row(spark, query):
+    """No filter below the explode makes the graph once more to count it, and the plan writes each of the six kinds of
+    node as JSON once: an id is not made again for each edge that names it."""
+    plan = queries.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not [line for line in filters if "size(" in line]
+    assert plan.count("StructField(source_anchor") == 5
