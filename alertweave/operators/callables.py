@@ -13,6 +13,7 @@ from alertweave import fixed_values as fixed
 from alertweave.functions.expressions import (
     blank_comments_and_literals,
     count_newlines,
+    let,
     record,
     strip,
 )
@@ -142,16 +143,26 @@ def call_sites(text: Column) -> Column:
     A mark is put after each name before the text is cut into lines, so a name and its
     parenthesis may stand on different lines.
     """
-    marked = F.regexp_replace(F.translate(text, "\x01", " "), _CALL, "$1\x01$2(")
-    return F.flatten(
-        F.transform(
-            F.split(marked, "\n"),
-            lambda line, offset: F.transform(
-                F.array_distinct(F.regexp_extract_all(line, F.lit(_MARKED), F.lit(1))),
-                lambda name: record(name=name, offset=offset),
-            ),
+
+    def marked(text: Column) -> Column:
+        return F.regexp_replace(F.translate(text, "\x01", " "), _CALL, "$1\x01$2(")
+
+    def names_of(line: Column) -> Column:
+        return F.when(
+            line.contains("\x01"), F.array_distinct(F.regexp_extract_all(line, F.lit(_MARKED), F.lit(1)))
+        ).otherwise(F.array().cast("array<string>"))
+
+    def sites(text: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.split(marked(text), "\n"),
+                lambda line, offset: F.transform(names_of(line), lambda name: record(name=name, offset=offset)),
+            )
         )
-    )
+
+    # a text without a parenthesis calls nothing
+    none = F.array().cast("array<struct<name:string,offset:int>>")
+    return let(text, lambda whole: F.when(~whole.contains("("), none).otherwise(sites(whole)))
 
 
 def index_definitions(source_files: DataFrame, by_line: DataFrame) -> DataFrame:

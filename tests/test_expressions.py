@@ -102,3 +102,30 @@ def test_lines_are_split_without_taking_each_apart(spark):
     got = frame.select("want", E.split_lines(F.col("text")).alias("got"))
     assert all(row.got == row.want for row in got.collect())
     assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_and_blanks_of_plain_and_odd_texts_alike(spark):
+    """Texts that only have newlines are cut at those, all others by the pattern; both as Python cuts them."""
+    texts = ["", "\n", "a", "a\n", "a\n\nb", "\n\na", "a\r\nb\r", "a\x1cb\n", "\u2028", "x\x85\n", None, "é\n\tß"]
+    rows = spark.createDataFrame([(text,) for text in texts], "text string").select(
+        "text",
+        E.split_lines(F.col("text")).alias("ended"),
+        E.split_lines(F.col("text"), keep_ends=False).alias("bare"),
+        E.strip_newline(F.col("text")).alias("cut"),
+        (E.has_text(F.col("text")) == (E.strip(F.col("text")) != "")).alias("alike"),
+        E.blank_comments_and_literals(F.col("text")).alias("blank"),
+    )
+    for row in rows.collect():
+        if row.text is None:
+            assert list(row) == [None] * 6
+            continue
+        assert row.ended == row.text.splitlines(keepends=True) and row.bare == row.text.splitlines()
+        assert row.cut == row.text.rstrip("\r\n") and row.alike and row.blank == row.text
+
+
+def test_texts_without_marks_are_not_matched(spark):
+    """The patterns for odd terminators and for tokens to blank stand behind a test of the whole text."""
+    frame = spark.createDataFrame([("a b\nc",)], "text string")
+    for column, pattern in ((E.split_lines(F.col("text")), "split(lambda"), (E.blank_comments_and_literals(F.col("text")), "regexp_extract_all(")):
+        plan = frame.select(column)._jdf.queryExecution().analyzed().toString()
+        assert "CASE WHEN RLIKE(" in plan and plan.index("RLIKE(") < plan.index(pattern)
