@@ -109,7 +109,7 @@ def explode_results(gated: DataFrame) -> DataFrame:
         F.col("run.columnKind").alias("column_kind"),
         rules.alias("rules"),
         order_by_id(rules).alias("rule_order"),
-        F.coalesce("run.artifacts", F.array()).alias("artifacts"),
+        F.transform(F.coalesce("run.artifacts", F.array()), named_artifact).alias("artifacts"),
         resolve_declared(F.col("run.originalUriBaseIds")).alias("bases"),
         F.col("run.results").alias("results"),
     )
@@ -265,6 +265,13 @@ def asserted_sha256(hashes: Column) -> Column:
     return F.lower(F.get(entries, F.lit(0))["value"])
 
 
+def named_artifact(artifact: Column) -> Column:
+    """What locations take from an artifact; its hashes are read once a run, not for each location."""
+    return F.when(
+        artifact.isNotNull(), record(location=artifact["location"], asserted=asserted_sha256(artifact["hashes"]))
+    )
+
+
 def locate(location: Column, related: Column, artifacts: Column, bases: Column) -> Column:
     """``STRUCT<physical, indexed, asserted, uri, base>``: what one raw location names in its run.
 
@@ -289,7 +296,7 @@ def locate(location: Column, related: Column, artifacts: Column, bases: Column)
         return record(
             physical=physical,
             indexed=artifact.isNotNull(),
-            asserted=asserted_sha256(artifact["hashes"]),
+            asserted=artifact["asserted"],
             uri=F.coalesce(declared["uri"], artifact["location"]["uri"]),
             base=F.when(base_id.isNotNull(), look_up_base(base_id, bases)),
         )

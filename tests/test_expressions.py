@@ -129,3 +129,19 @@ def test_texts_without_marks_are_not_matched(spark):
     for column, pattern in ((E.split_lines(F.col("text")), "split(lambda"), (E.blank_comments_and_literals(F.col("text")), "regexp_extract_all(")):
         plan = frame.select(column)._jdf.queryExecution().analyzed().toString()
         assert "CASE WHEN RLIKE(" in plan and plan.index("RLIKE(") < plan.index(pattern)
+
+
+def test_plain_uris_take_the_short_way_to_the_same(spark):
+    """A URI without a scheme, a drive or an escape is cut into parts and is not matched part by part; one with a
+    needless escape of the same text takes the long way."""
+    texts = ["a", "a/b.txt", "/a//b/./c-d_e", "..", "a/../b", "./", "/", ".", "a/..b", "A/.../b"]
+    frame = spark.createDataFrame([(text, text.replace("a", "%61") + "%2F") for text in texts], "short string, long string")
+    rows = frame.select(canonicalize_uri(F.col("short")).alias("short"), canonicalize_uri(F.col("long")).alias("long"))
+    for row in rows.collect():
+        assert row.short == row.long
+    plan = frame.select(canonicalize_uri(F.col("short")))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("RLIKE(short") < plan.index("regexp_extract(")
+    odd = spark.createDataFrame([("//host/x",), ("a:b",), ("",), (None,), ("a\n",)], "u string")
+    assert [r.u.reason for r in odd.select(canonicalize_uri(F.col("u")).alias("u")).collect()] == [
+        "remote authority is not allowed", "scheme is not allowed", "invalid URI", "invalid URI", None,
+    ]
